@@ -26,5 +26,18 @@ draws AS (SELECT d.doc_id, d.source, p.rate, i, ('0x' || substr(md5('0|' || d.do
 hits AS (SELECT doc_id, any_value(rate) AS rate, count(*) FILTER (WHERE c <= u) AS n_copies FROM draws JOIN cdf ON cdf.source IS NOT DISTINCT FROM draws.source GROUP BY doc_id)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, h.rate, h.n_copies::INT AS n_copies, c::INT AS copy, md5('order|0|' || d.doc_id || '|' || c) AS shuffle_key
 FROM documents d JOIN hits h USING (doc_id), range(1, h.n_copies + 1) r(c)
+""",
+    "op2_quotations": r"""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn, role, CAST(NULL AS BIGINT) AS reply_to, turn AS root_turn, 0::BIGINT AS quote_levels,
+  0::BIGINT AS n_quoted, 0::BIGINT AS n_linked, text, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM conversations
+""",
+    "op5_fixity": r"""
+WITH bytes AS (SELECT page_id, page_id // 256 AS file, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM pages),
+placed AS (SELECT file, row_number() OVER w - 1 AS ordinal, page_id AS record_id, CAST(sum(octet_length(record)) OVER w AS BIGINT) - octet_length(record) AS record_offset, octet_length(record) AS length, sha256(record) AS digest,
+  substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS sign FROM bytes WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT file, ordinal, record_id, record_offset, length, digest, CASE sign WHEN '00' THEN 'damaged' WHEN '01' THEN 'missing' ELSE 'ok' END AS status,
+  bool_or(sign IN ('00', '01')) OVER (PARTITION BY file, ordinal // 16) AS descended FROM placed
 """,
 }

@@ -28,13 +28,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def _words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of adjacent texts and the number of words of each."""
     base, n = int(starts[0]), int(stops[-1] - starts[0])
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     bytes_ = data[base : base + n]
-    word = ~SPACE[bytes_]
+    word = ~gaps[bytes_]
     filled = stops > starts
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     first[1:], last[:-1] = ~word[:-1], ~word[1:]
@@ -47,25 +47,25 @@ def _words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.
     return found, np.diff(edges)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """For adjacent texts: the hashes of all words in order, and the number of words of each text.
 
-    A text longer than a piece is cut at white space, so memory does not follow the longest text's bytes eightfold.
+    ``gaps`` tells which bytes part words. A text longer than a piece is cut at one, so memory does not follow the longest text's bytes eightfold.
     """
     if len(offsets) == 2 and offsets[1] - offsets[0] > PIECE_BYTES:
         at, stop, parts = int(offsets[0]), int(offsets[1]), []
         while at < stop:
             to = min(stop, at + PIECE_BYTES)
-            if to < stop and (gaps := np.flatnonzero(SPACE[data[at:to]])).size:
+            if to < stop and (gaps := np.flatnonzero(gaps[data[at:to]])).size:
                 to = at + int(gaps[-1]) + 1
             elif to < stop:
-                while to < stop and not SPACE[data[to]]:
+                while to < stop and not gaps[data[to]]:
                     to += 1
-            parts.append(_words(data, np.array([at]), np.array([to]))[0])
+            parts.append(_words(data, np.array([at]), np.array([to]), gaps)[0])
             at = to
         found = np.concatenate(parts)
         return found, np.array([len(found)])
-    return _words(data, offsets[:-1], offsets[1:])
+    return _words(data, offsets[:-1], offsets[1:], gaps)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
