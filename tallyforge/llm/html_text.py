@@ -3,7 +3,8 @@
 Pass one parses each page into text blocks and hashes each element's subtree. Spark counts, for each host and hash, on
 how many different pages it stands; subtrees that recur on many pages of a host are deleted. What a page itself says to
 be its article is taken if there is one, and what it marks as navigation, advert, form and the like is left out.
-Headings and paragraphs within an article are never deleted for recurring: passages that several articles share are text.
+Headings, paragraphs and list items are never deleted for recurring by themselves, nor lists and tables within an
+article: passages that several pages share are text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ DROPPED = frozenset("head nav footer aside form button menu dialog fieldset".spl
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 SPACED = frozenset("br td th wbr img".split())
 ARTICLE = frozenset(["article", "main"])
-#: Elements that are text of an article: they are kept though they recur.
-TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ol ul dl dt dd figure figcaption table tbody thead tr td th caption".split())
+#: Elements that are text: they are kept though they recur. So are, within an article, those that hold such text together.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption tr td th caption".split())
+GROUPS = frozenset("ul ol dl figure table tbody thead tfoot".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 #: Words of a class, id or role that mark what isn't main text.
@@ -141,7 +143,8 @@ class Page:
         for i in range(len(self._stack) - 1, 0, -1):
             t = self._stack[i].tag
             if t == tag:
-                self._flush()
+                if tag in BLOCKS:
+                    self._flush()
                 while len(self._stack) > i:
                     self._close()
                 return
@@ -170,7 +173,7 @@ class Page:
         own = _hash(node.tag.encode("utf-8", "surrogatepass") + b">" + b"".join(node.parts))
         up.parts.append(own.to_bytes(8, "little", signed=True))
         up.holds |= node.holds
-        if node.tag in BLOCKS and not node.holds and node.tag not in ("html", "body") and len(self.blocks) > node.first and not (node.inside and node.tag in TEXT_LEVEL):
+        if node.tag in BLOCKS and not node.holds and node.tag not in ("html", "body") and len(self.blocks) > node.first and node.tag not in TEXT and not (node.inside and node.tag in GROUPS):
             self.subtrees.append((own, node.first, len(self.blocks)))
 
     def _flush(self) -> None:

@@ -58,7 +58,7 @@ def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, tot
     spark = docs.sparkSession
     added = ("copy", "n_copies", "rate", "shuffle_key")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    table = with_distribution(rates(docs, weights, source_col, total)).select(F.col("source").alias("__source"), "rate", "parts", "cdf")
+    table = with_distribution(rates(docs, weights, source_col, total)).select(F.col("source").alias("__source"), "rate", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if docs.select(source_col).distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         joined = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table["__source"]))
     else:
@@ -67,7 +67,7 @@ def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, tot
         docs = docs.withColumn("__salt", salt)
         joined = docs.join(table, docs[source_col].eqNullSafe(table["__source"]) & (F.col("__salt") == F.col("__salt2"))).drop("__salt", "__salt2")
     who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    draw = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, i: n + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), who, i))))
+    draw = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), who, i))))
     out = joined.withColumn("n_copies", draw).filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), who, F.col("copy").cast("string")).cast("binary"))).drop("__source", "parts", "cdf")
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), who, F.col("copy").cast("string")).cast("binary"))).drop("__source", "__parts", "__cdf")
     return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shuffle_key").sortWithinPartitions("shuffle_key")

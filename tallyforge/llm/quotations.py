@@ -20,18 +20,16 @@ MARK = r"^\s*(?:>\s?)+"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds passages (array of depth and text, the lines parted by line ends), clean text and the deepest level."""
+    """Adds lines (an array of depth and text), clean (the text without quotes) and quote_levels."""
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
     line = F.transform(lines, lambda s: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(s, MARK, 0), "[^>]", "")).alias("depth"),
         F.regexp_replace(s, MARK, "").alias("text")))
-    # a mark where the depth changes or a line is blank, and then a split there, is linear in the text
-    joined = F.array_join(F.transform(line, lambda x: F.concat(F.lit("\u0001"), x["depth"].cast("string"), F.lit("\u0002"), F.regexp_replace(x["text"], "[\u0001\u0002]", " "))), "\n")
-    out = messages.withColumn("lines", line).withColumn("joined", joined)
+    out = messages.withColumn("lines", line)
     clean = F.array_join(F.transform(F.filter("lines", lambda x: x["depth"] == 0), lambda x: x["text"]), "\n")
     clean = F.regexp_replace(F.regexp_replace(clean, r"\n[ \t]*(?:\n[ \t]*)+\n?", "\n\n"), r"^\s+|\s+$", "")
     plain = F.when(F.exists("lines", lambda x: x["depth"] > 0), clean).otherwise(F.coalesce("text", F.lit("")))
-    return out.withColumn("clean", plain).withColumn("quote_levels", F.coalesce(F.array_max(F.transform("lines", lambda x: x["depth"])), F.lit(0))).drop("joined")
+    return out.withColumn("clean", plain).withColumn("quote_levels", F.coalesce(F.array_max(F.transform("lines", lambda x: x["depth"])), F.lit(0)))
 
 
 def normal(text) -> F.Column:

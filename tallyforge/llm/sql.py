@@ -28,9 +28,30 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, h.rate, h.n_copies::INT AS
 FROM documents d JOIN hits h USING (doc_id), range(1, h.n_copies + 1) r(c)
 """,
     "op2_quotations": r"""
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn, role, CAST(NULL AS BIGINT) AS reply_to, turn AS root_turn, 0::BIGINT AS quote_levels,
-  0::BIGINT AS n_quoted, 0::BIGINT AS n_linked, text, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS formatted
-FROM conversations
+WITH RECURSIVE messages AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, text, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations),
+marked AS (SELECT *, list_transform(ls, lambda l: {'depth': length(regexp_replace(regexp_extract(l, '^\s*(?:>\s?)+'), '[^>]', '', 'g')), 'text': regexp_replace(l, '^\s*(?:>\s?)+', '')}) AS lines FROM messages),
+cleaned AS (SELECT *, list_max(list_transform(lines, lambda x: x.depth)) AS levels,
+  CASE WHEN len(list_filter(lines, lambda x: x.depth > 0)) = 0 THEN coalesce(text, '') ELSE
+    regexp_replace(regexp_replace(coalesce(array_to_string(list_transform(list_filter(lines, lambda x: x.depth = 0), lambda x: x.text), chr(10)), ''), '\n[ \t]*(?:\n[ \t]*)+\n?', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS clean FROM marked),
+each_ AS (SELECT row_number() OVER () AS id, conv_id, turn, lines FROM cleaned WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+flat AS (SELECT id, conv_id, turn, i, lines[i].depth AS depth, trim(regexp_replace(lower(lines[i].text), '\s+', ' ', 'g')) AS t FROM each_, range(1, len(lines) + 1) r(i)),
+starts AS (SELECT *, CASE WHEN t = '' OR coalesce(lag(depth) OVER w <> depth OR lag(t) OVER w = '', true) THEN 1 ELSE 0 END AS s FROM flat WINDOW w AS (PARTITION BY id ORDER BY i)),
+runs AS (SELECT *, sum(s) OVER (PARTITION BY id ORDER BY i) AS run FROM starts),
+passages AS (SELECT DISTINCT conv_id, turn, depth, p FROM (
+  SELECT conv_id, turn, depth, t AS p FROM runs WHERE t <> ''
+  UNION ALL SELECT conv_id, turn, depth, string_agg(t, ' ' ORDER BY i) FROM runs WHERE t <> '' GROUP BY id, conv_id, turn, run, depth)),
+found AS (SELECT q.conv_id, q.turn, q.depth, (SELECT max(o.turn) FROM passages o WHERE o.conv_id = q.conv_id AND o.p = q.p AND o.depth = 0 AND o.turn < q.turn) AS source FROM passages q WHERE q.depth > 0),
+sources AS (SELECT conv_id, turn, depth, source, count(*) AS n FROM found WHERE source IS NOT NULL GROUP BY ALL),
+replies AS (SELECT conv_id, turn, sum(n) AS n_linked, arg_max(source, n * 1000000 + source) FILTER (depth = 1) AS reply_to FROM sources GROUP BY ALL),
+quoted AS (SELECT conv_id, turn, count(*) AS n_quoted FROM found GROUP BY ALL),
+up AS (SELECT conv_id, turn, reply_to AS root FROM replies WHERE reply_to IS NOT NULL
+  UNION ALL SELECT up.conv_id, up.turn, r.reply_to FROM up JOIN replies r ON r.conv_id = up.conv_id AND r.turn = up.root AND r.reply_to IS NOT NULL),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY ALL),
+every AS (SELECT c.*, r.reply_to, coalesce(x.root, c.turn) AS root_turn, coalesce(q.n_quoted, 0) AS n_quoted, coalesce(r.n_linked, 0) AS n_linked FROM cleaned c
+  LEFT JOIN replies r USING (conv_id, turn) LEFT JOIN quoted q USING (conv_id, turn) LEFT JOIN roots x USING (conv_id, turn))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS LAST, turn NULLS LAST, role, clean, coalesce(text, '')) AS position, turn, role, reply_to, root_turn,
+  CAST(coalesce(levels, 0) AS BIGINT) AS quote_levels, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked, clean AS text, '<|' || role || '|>' || chr(10) || clean || chr(10) || '<|end|>' || chr(10) AS formatted FROM every
 """,
     "op5_fixity": r"""
 WITH bytes AS (SELECT page_id, page_id // 256 AS file, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)

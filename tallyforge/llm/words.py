@@ -56,8 +56,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE)
         at, stop, parts = int(offsets[0]), int(offsets[1]), []
         while at < stop:
             to = min(stop, at + PIECE_BYTES)
-            if to < stop and (gaps := np.flatnonzero(gaps[data[at:to]])).size:
-                to = at + int(gaps[-1]) + 1
+            if to < stop and (ends := np.flatnonzero(gaps[data[at:to]])).size:
+                to = at + int(ends[-1]) + 1
             elif to < stop:
                 while to < stop and not gaps[data[to]]:
                     to += 1
