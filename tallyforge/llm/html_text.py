@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -211,13 +212,22 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SUBTREES)], schema=SUBTREES)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages with their html compressed, for the shuffle that brings a page and its deletions together."""
     for batch in batches:
         _, offsets = utf8(batch.column("html"))
         for a, b in pieces(offsets, 2 << 20):
-            part, texts, sizes = batch.slice(a, b - a), [], []
-            for source, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist()):
-                page = Page(source or "")
+            part = batch.slice(a, b - a)
+            html = pa.array([zlib.compress((t or "").encode(), 1) for t in part.column("html").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("row_hash"), html], ["page_id", "url", "row_hash", "html"])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part, texts, sizes = batch.slice(a, 256), [], []
+            for source, gone in zip(part.column("html"), part.column("gone").to_pylist()):
+                page = Page(zlib.decompress(source.as_py()).decode())
                 out = {i for g in gone or () for i in range(g["first"], g["past"])}
                 text = "\n\n".join(t for i, t in page.wanted() if i not in out)
                 texts.append(text.encode("utf-8", "replace").decode())
@@ -251,4 +261,5 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     recurring = recurring_subtrees(subtrees, source, min_pages, min_share)
     gone = subtrees.select("row_hash", "host", "subtree", "first", "past").distinct().join(recurring, ["host", "subtree"], "left_semi")
     gone = gone.groupBy("row_hash").agg(F.collect_list(F.struct("first", "past")).alias("gone"))
-    return source.join(gone, "row_hash", "left").select("page_id", "url", "html", "gone").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    packed = source.select("page_id", "url", "row_hash", "html").mapInArrow(_packed, "page_id long, url string, row_hash long, html binary")
+    return packed.join(gone, "row_hash", "left").select("page_id", "url", "html", "gone").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
