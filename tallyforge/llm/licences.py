@@ -3,13 +3,15 @@
 Texts and templates are lower-cased words of letters, digits and bytes beyond ASCII. A template of t five-word
 shingles (of all its words, if it has fewer) belongs to the least half-window B of powers of two with t <= B + 1.
 A window is two adjacent blocks of B shingles, so windows overlap by half and a run of t shingles lies whole in one of
-them. There t > B / 2, so a window that contains the share 0.8 of a template has a similarity of 0.19 at least with it.
-Each of 72 bands is one minimum of an independent hash, so such a window meets its template's band with probability 1 - (1 - 0.19)**72 > 1 - 3e-7.
-A longer template is cut into runs of 65 shingles. Hits are verified on exact sets.
+them. A window that holds the share 0.8 of a template, c = ceil(0.8 t) shingles, has a similarity of at least
+s = c / (2 B + t - c) with it, which is over 0.19 for any t. Each band is one minimum of an independent hash, and a half-window takes as many bands as
+make a miss, (1 - s)**bands for the least s of its templates, rarer than 1e-7. A longer template is cut into runs of 65 shingles. Hits are verified on
+exact sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import mix, pieces, utf8
 from .words import word_hashes, shingles
 
-WORDS, BANDS, SHARE = 5, 72, 0.8
+WORDS, SHARE, MISS = 5, 0.8, 1e-7
 LONGEST = 65
 GAPS = np.ones(256, bool)
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -86,18 +88,25 @@ def compiled(templates: dict[str, tuple[str, ...]]) -> list[Run]:
                 part = found[a : a + LONGEST]
                 if a and len(part) < LONGEST:
                     part = found[-LONGEST:]
-                half = 2
+                half = 1
                 while len(part) > half + 1:
                     half *= 2
                 runs.append(Run(licence, min(WORDS, n), np.unique(part), half))
     return runs
 
 
-ODD = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+def bands_for(runs: list[Run]) -> int:
+    """So many that a window with the wanted share of any of the runs, all of one half-window, is missed once in 1 / MISS times."""
+    most = 1
+    for r in runs:
+        t = len(r.shingles)
+        c = math.ceil(SHARE * t)
+        s = c / (2 * r.half + t - c)
+        most = max(most, 1 if s >= 1 else math.ceil(math.log(MISS) / math.log(1 - s)))
+    return most
 
 
-def minima(found: np.ndarray, starts: np.ndarray, band: int) -> np.ndarray:
-    return np.minimum.reduceat(_order(found, band), starts)
+ODD = mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
 
 def _order(found: np.ndarray, band: int) -> np.ndarray:
@@ -110,13 +119,14 @@ class Scanner:
         self.by_words: dict[int, dict[int, list[Run]]] = {}
         for r in self.runs:
             self.by_words.setdefault(r.words, {}).setdefault(r.half, []).append(r)
-        self.marks: dict[tuple[int, int, int], np.ndarray] = {}
+        self.marks: dict[tuple[int, int], list[np.ndarray]] = {}
         for words, halves in self.by_words.items():
             for half, runs in halves.items():
-                for band in range(BANDS):
+                marks = self.marks[words, half] = []
+                for band in range(bands_for(runs)):
                     seen = np.zeros(1 << 16, bool)
                     seen[[int(_order(r.shingles, band).min()) & 0xFFFF for r in runs]] = True
-                    self.marks[words, half, band] = seen
+                    marks.append(seen)
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[str, float, int, int]]]:
         """For each text the matches (licence, containment, first word, word after the last), the best of each licence."""
@@ -128,17 +138,24 @@ class Scanner:
             if not len(found):
                 continue
             begin = np.cumsum(have) - have
-            for half, runs in halves.items():
+            blocks = {}
+            for half in halves:
                 n = -(-have // half)
                 owner = np.repeat(np.arange(len(have)), n)
                 starts = begin[owner] + half * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
-                joined = np.zeros(len(owner), bool)
-                joined[:-1] = owner[1:] == owner[:-1]
-                hit = np.zeros(len(owner), bool)
-                for band in range(BANDS):
-                    low = minima(found, starts, band)
-                    low[:-1] = np.where(joined[:-1], np.minimum(low[:-1], low[1:]), low[:-1])
-                    hit |= self.marks[k, half, band][low & np.uint32(0xFFFF)]
+                blocks[half] = owner, starts, owner[1:] == owner[:-1], np.zeros(len(owner), bool)
+            for band in range(max(len(self.marks[k, half]) for half in halves)):
+                order = _order(found, band)
+                for half, (_, starts, joined, hit) in blocks.items():
+                    if band >= len(self.marks[k, half]):
+                        continue
+                    low = order if half == 1 else np.minimum.reduceat(order, starts)
+                    mark = self.marks[k, half][band]
+                    hit |= mark[low & np.uint32(0xFFFF)]
+                    pair = np.minimum(low[:-1], low[1:])
+                    hit[:-1] |= joined & mark[pair & np.uint32(0xFFFF)]
+            for half, runs in halves.items():
+                owner, starts, _, hit = blocks[half]
                 for i in np.flatnonzero(hit):
                     d = owner[i]
                     end = min(starts[i] + 2 * half, begin[d] + have[d])

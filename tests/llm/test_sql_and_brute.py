@@ -463,11 +463,9 @@ def brute_licences(text, templates):
             own = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
             runs = [grams[a : a + 65] if len(grams[a : a + 65]) == 65 or not a else grams[-65:] for a in range(0, len(grams), 65)]
             for run in runs:
-                half = 2
+                half = 1
                 while len(run) > half + 1:
                     half *= 2
-                if len(licences.compiled({"x": (t,)})) and any(r.half < half for r in licences.compiled({"x": (t,)})):
-                    half = next(r.half for r in licences.compiled({"x": (t,)}))
                 for a in range(0, len(own), half):
                     if len(set(own[a : a + 2 * half]) & set(run)) >= 0.8 * len(set(run)):
                         out.add(name)
