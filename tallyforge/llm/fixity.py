@@ -24,24 +24,31 @@ def header(url, length) -> F.Column:
     return F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(file, ordinal, record_id, record_offset, length, record): the pages as WARC records, in files by id.
+def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(record_id, record): each page as the bytes of a WARC record. Null urls and pages count as empty."""
+    content = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    record = F.concat(F.encode(header(F.col(url_col), F.octet_length(content)), "UTF-8"), content, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
+    return pages.select(F.col(id_col).cast("long").alias("record_id"), record.alias("record"))
+
+
+def manifest(stored: DataFrame, *, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """(file, ordinal, record_id, record_offset, length, digest) and what else ``stored`` has, of (record_id, record).
 
-    A file holds the ids from ``per_file`` times its number, negative ones too; null ids are in a file of number null
-    turned to -1 beside the negatives. Repeated rows are repeated records, in the order of their bytes.
+    A file holds ``per_file`` ids from a multiple of it; records without an id are in file -1, before others. Records that repeat an id are
+    in the order of their digests. Bytes are hashed where they lie: what is dealt out to be placed is a digest.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    content = F.encode(html, "UTF-8")
-    record = F.concat(F.encode(header(F.col(url_col), F.octet_length(content)), "UTF-8"), content, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
-    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), record.alias("record"))
-    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("record_id") / per_file), F.lit(-1)).cast("long")).withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy(F.asc_nulls_first("record_id"), F.sha2("record", 256))
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "record_id", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("record_offset"), "length", "record")
+    rows = stored.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("long")).drop("record")
+    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("record_id") / per_file), F.lit(-1)).cast("long"))
+    order = Window.partitionBy("file").orderBy(F.asc_nulls_first("record_id"), "digest")
+    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    return rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).withColumn("record_offset", before)
+
+
+LEAF = ["file", "ordinal", "record_id", "record_offset", "length", "digest"]
 
 
-def leaves(stored: DataFrame) -> DataFrame:
-    """(file, ordinal, record_id, record_offset, length, digest); a null record has the digest of nothing."""
-    return stored.select("file", "ordinal", "record_id", "record_offset", "length", F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest"))
+def leaves(placed: DataFrame) -> DataFrame:
+    return placed.select(*LEAF)
 
 
 def _above(level: DataFrame) -> DataFrame:
@@ -96,7 +103,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     status is ok, damaged, missing (in the second replica) or added (there). descended tells whether the walk came down
     to the record's own digest; where it didn't, the hash of its range or one above it agreed. Two empty tables give an empty one.
     """
-    mine, other = cut(ours), cut(theirs)
+    mine, other = cut(ours.select(*LEAF)), cut(theirs.select(*LEAF))
     shape = Shape.of(mine, other)
     plain = mine.withColumn("status", F.lit("ok")).withColumn("descended", F.lit(False))
     if shape is None:
@@ -124,9 +131,11 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return out.unionByName(added)
 
 
-def worn_replica(stored: DataFrame) -> DataFrame:
-    """A second replica with planted damage, for drills: by an md5 of the id one record of 256 has its last byte changed and another of
-    256 is lost. Offsets stay as they were."""
-    sign = F.substring(F.md5(F.coalesce(F.col("record_id").cast("string"), F.lit(""))), 1, 2)
-    hurt = F.concat(F.expr("substring(record, 1, length - 1)"), F.encode(F.lit("?"), "UTF-8"))
-    return stored.filter(sign != "01").withColumn("record", F.when(sign == "00", hurt).otherwise(F.col("record")))
+def drill(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves of a replica and of a second one with planted damage: by an md5 of the id, one record of 256 has its last byte changed and
+    another of 256 is lost. What is left lies at the same offsets."""
+    sign = F.substring(F.md5(F.coalesce(F.col("record_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
+    hurt = F.concat(F.expr("substring(record, 1, octet_length(record) - 1)"), F.encode(F.lit("?"), "UTF-8"))
+    theirs = F.when(sign == "00", F.sha2(hurt, 256)).when(sign != "01", F.sha2("record", 256))
+    placed = cut(manifest(stored.withColumn("theirs", theirs)))
+    return leaves(placed), placed.filter("theirs is not null").withColumn("digest", F.col("theirs")).select(*LEAF)

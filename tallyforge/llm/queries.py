@@ -34,8 +34,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = fixity.records(table(spark, sf_dir, "pages"))
-    return fixity.audit(fixity.leaves(stored), fixity.leaves(fixity.worn_replica(stored)))
+    return fixity.audit(*fixity.drill(fixity.records(table(spark, sf_dir, "pages"))))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,18 +245,19 @@ def test_fixity(spark, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     df.coalesce(1).write.parquet(f"{tmp_path}/p")
     stored = fixity.records(df.withColumn("file", F.lit(1)).repartition(3))
-    out = fixity.audit(fixity.leaves(stored), fixity.leaves(fixity.worn_replica(stored)))
+    ours, theirs = fixity.drill(stored)
+    out = fixity.audit(ours, theirs)
     rows = [tuple(r) for r in out.collect()]
     assert comparable(out.columns, rows) == sql_rows("op5_fixity", {"pages": f"{tmp_path}/p/*.parquet"})[1]
-    same = fixity.audit(fixity.leaves(stored), fixity.leaves(stored))
+    same = fixity.audit(ours, ours)
     assert same.filter("status <> 'ok' or descended").count() == 0 and same.count() == 1200
-    back = fixity.audit(fixity.leaves(fixity.worn_replica(stored)), fixity.leaves(stored))
+    back = fixity.audit(theirs, ours)
     assert {r["status"] for r in back.select("status").distinct().collect()} == {"ok", "damaged", "added"}
 
 
 def test_fixity_awkward(spark):
     df = spark.createDataFrame([(None, None, None), (-5, "u", ""), (7, "u", "x"), (7, "u", "x"), (10**9, "v", "y" * 10**6)], "page_id long, url string, html string")
-    leaf = fixity.leaves(fixity.records(df))
+    leaf = fixity.leaves(fixity.manifest(fixity.records(df)))
     assert fixity.audit(leaf, leaf.filter("record_id is not null")).filter("status = 'missing'").count() == 1
     assert fixity.audit(leaf, leaf).count() == 5 and fixity.audit(leaf.filter("false"), leaf).filter("status = 'added'").count() == 5
     assert fixity.audit(leaf.filter("false"), leaf.filter("false")).count() == 0
