@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import GOLDEN, cut, grouped, mix, pieces, utf8
 from .words import shingle_sets
@@ -227,10 +226,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = cut(source.mapInArrow(_sketches(shingle_words, bands * rows, bands), "id long, n_shingles long, node long, keys array<long>"))
     nodes = cut(base.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
 
-    per_key = Window.partitionBy("key")
-    buckets = nodes.select("node", "copies", "n", F.explode("keys").alias("key"))
-    buckets = buckets.withColumn("size", F.count("*").over(per_key)).withColumn("rep", F.max(F.struct("copies", "node", "n")).over(per_key))
-    buckets = cut(buckets.filter("size > 1").select("key", "node", "n", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")))
+    members = nodes.select("node", "copies", "n", F.explode("keys").alias("key"))
+    # sizes and representatives are aggregated before the shuffle, and the join back may split a hot key
+    heads = members.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", "node", "n")).alias("rep")).filter("size > 1")
+    buckets = cut(members.join(heads, "key").select("key", "node", "n", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")))
 
     close = f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)"
     star = buckets.filter(f"node <> rep and {close}").select("node", "rep").distinct()
@@ -248,7 +247,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = cut(components(links))
 
     open_ = buckets.filter("size > 2").join(groups, "node", "left").select("key", "node", "rep", "size", F.coalesce("comp", "node").alias("comp"))
-    open_ = open_.withColumn("low", F.min("comp").over(per_key)).withColumn("high", F.max("comp").over(per_key)).filter("low <> high")
+    split = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    open_ = open_.join(split, "key")
     n = F.ceil(F.col("size") / BLOCK).cast("long")
     open_ = open_.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n))
     tasks = open_.select("key", "node", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
