@@ -14,7 +14,8 @@ def tokens(text: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Pairs of adjacent tokens, joined by a space; none for a text of one token."""
     t = tokens(text)
-    return F.transform(F.slice(F.arrays_zip(t.alias("a"), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))).alias("b")), F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def preview(counts: Column, most: int = 10) -> Column:

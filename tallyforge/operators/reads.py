@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.keys import key64
 
 
+#: The most bytes that a side of a join may be estimated at to be sent to all executors.
+SENT_TO_ALL = 24 << 20
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """Marks a side of a join for broadcast if its estimated size is within SENT_TO_ALL; else the join is a shuffle, whose
+    hot keys Spark splits."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= SENT_TO_ALL else df
+
+
 def point(state: DataFrame, key) -> DataFrame:
     """The row of one key, if it is there. A string is hashed for a state of 64-bit keys."""
     if isinstance(key, str) and dict(state.dtypes)["key"] != "string":
@@ -19,12 +30,12 @@ def point(state: DataFrame, key) -> DataFrame:
 
 def counts_of(state: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, value) of each requested key, 0 where it is absent; repeated requests repeat."""
-    return keys.join(state, "key", "left").select("key", F.coalesce("value", F.lit(0)).alias("value"))
+    return keys.join(if_small(state), "key", "left").select("key", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def multi_get(state: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of requested keys that are there, repeated as the requests are, in any order."""
-    return keys.select("key").join(state, "key")
+    return keys.select("key").join(if_small(state), "key")
 
 
 def keys_only(state: DataFrame) -> DataFrame:
@@ -48,14 +59,14 @@ def key_range(state: DataFrame, low: int, high: int) -> DataFrame:
 def key_set(state: DataFrame, keys: DataFrame | Iterable) -> DataFrame:
     """Keys of a set: a few as an IN list, a table of them as a semi-join."""
     if isinstance(keys, DataFrame):
-        return state.join(keys.select("key"), "key", "left_semi")
+        return state.join(if_small(keys.select("key")), "key", "left_semi")
     return state.filter(F.col("key").isin(list(keys)))
 
 
 def might_contain(state: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, present) of each request, exactly."""
     there = state.select("key").distinct().withColumn("__there", F.lit(True))
-    return keys.select("key").join(there, "key", "left").select("key", F.coalesce("__there", F.lit(False)).alias("present"))
+    return keys.select("key").join(if_small(there), "key", "left").select("key", F.coalesce("__there", F.lit(False)).alias("present"))
 
 
 def exact_size(state: DataFrame) -> DataFrame:

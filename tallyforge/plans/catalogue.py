@@ -14,7 +14,7 @@ from ..functions import keys, text
 from ..operators import combinators as C
 from ..operators import index, ranking, reads, sketches
 from ..operators.fold import fold, ordered_fold
-from ..sources.files import bigram_stream
+from ..sources.files import bigram_stream, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -295,7 +295,7 @@ def checksum(spark, d):
 
 
 def _texts(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value")))
 
 
 TOKENS = "SELECT DISTINCT doc_id AS key, text AS value, unnest(string_split(lower(text), ' ')) AS ikey FROM documents"

@@ -27,9 +27,23 @@ def read_object(spark: SparkSession, path: str, schema: str | T.StructType) -> D
     return spark.read.schema(schema).json(path)
 
 
+#: A scan estimated at fewer bytes is dealt out anew before work on its rows.
+SMALL_SCAN = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table to all cores: a small Parquet file is one row group, which one task must read.
+
+    Tables over 64 MB are left alone, as they have row groups enough; so what this shuffles is bounded.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) < SMALL_SCAN
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
 def bigram_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(key) a row for each pair of adjacent tokens."""
-    return texts.select(F.explode(bigrams(F.col(text_col))).alias("key"))
+    return spread(texts.select(text_col)).select(F.explode(bigrams(F.col(text_col))).alias("key"))
 
 
 def uniform_stream(spark: SparkSession, n: int, below: int = 1_000_000, seed: int = 0) -> DataFrame:
