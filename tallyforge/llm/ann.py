@@ -211,7 +211,7 @@ def nearest(group: pa.Table, k: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_modulus: int = 100, sample_rows: int = 8192, recall: float = 0.95, rows_per_part: int = 60, most_parts: int = 32) -> DataFrame:
+def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_modulus: int = 100, sample_rows: int = 8192, recall: float = 0.96, rows_per_part: int = 60, most_parts: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``query_modulus``.
 
     score is the Euclidean distance in doubles; ties go to the smaller id. Rows with a null id, and vectors that are null, zero,

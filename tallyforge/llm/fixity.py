@@ -3,14 +3,18 @@
 A record is the bytes of one WARC/1.1 response. Records lie in files of a bounded number, in order, at offsets that
 add up their lengths. Sixteen adjacent records make an offset range, whose hash is that of its records' hashes in order;
 sixteen ranges make a node above it, and so on to one root. Two replicas are compared from the root down, and only below nodes that
-differ, to the records that are damaged, missing or added. All is SQL functions: no group holds more than sixteen hashes.
+differ, to the records that are damaged, missing or added. The audit is SQL functions alone, and no group of it holds more than sixteen hashes.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +35,45 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return pages.select(F.col(id_col).cast("long").alias("record_id"), record.alias("record"))
 
 
+class WarcError(ValueError):
+    """Bytes that are not a sequence of WARC records."""
+
+
+def split_warc(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each record of an uncompressed WARC file, its closing line ends included."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", data[at : head + 2], re.I) if head >= 0 and data[at : at + 5] == b"WARC/" else None
+        end = head + 8 + int(m[1]) if m else 0
+        if not m or data[end - 4 : end] != b"\r\n\r\n":
+            raise WarcError(f"no record at byte {at}")
+        yield at, data[at:end]
+        at = end
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record_offset, record, error) of the WARC files under a path of any file system that Spark reads.
+
+    A file that breaks off gives its whole records and one row with an error and no record. A file is read by one
+    task, as its records can't be found from its middle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("record_offset", pa.int64()), ("record", pa.binary()), ("error", pa.string())])
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                at = 0
+                try:
+                    for at, record in split_warc(data.as_py()):
+                        yield pa.RecordBatch.from_pylist([{"path": name, "record_offset": at, "record": record}], schema)
+                except WarcError as e:
+                    yield pa.RecordBatch.from_pylist([{"path": name, "record_offset": at, "error": str(e)}], schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, record_offset long, record binary, error string")
+
+
 def manifest(stored: DataFrame, *, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """(file, ordinal, record_id, record_offset, length, digest) and what else ``stored`` has, of (record_id, record).
 

@@ -263,6 +263,19 @@ def test_fixity_awkward(spark):
     assert fixity.audit(leaf.filter("false"), leaf.filter("false")).count() == 0
 
 
+def test_read_warc(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://h/{i}", "é\r\n\r\n" * i) for i in range(5)], "page_id long, url string, html string")
+    stored = [bytes(r["record"]) for r in fixity.records(df).orderBy("record_id").collect()]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(stored))
+    (tmp_path / "w" / "b.warc").write_bytes(b"".join(stored)[:-3])
+    got = fixity.read_warc(spark, str(tmp_path / "w")).orderBy("path", "record_offset").collect()
+    assert [bytes(r["record"]) for r in got if r["record"] is not None] == stored + stored[:4]
+    assert [r["error"] is None for r in got].count(False) == 1
+    placed = fixity.manifest(fixity.records(df)).orderBy("record_id").collect()
+    assert [r["record_offset"] for r in placed] == [r["record_offset"] for r in got][:5]
+
+
 # --- op6
 
 
