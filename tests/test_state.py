@@ -1,5 +1,6 @@
 """Reads, indexes, rankings, sketches."""
 
+import hashlib
 import random
 
 import pytest
@@ -123,4 +124,4 @@ def test_hybrid_counts(spark):
 def test_buckets(spark):
     got = spark.createDataFrame([(k,) for k in (0, 31, 32, 63, -1, -(2**63))], "key long").select(keys.bucket(F.col("key"))).collect()
     assert [r[0] for r in got] == [32, 63, 0, 31, 31, 32]
-    assert spark.range(1).select(keys.key64(F.lit("koen"))).first()[0] == 1148473865980995470
+    assert spark.range(1).select(keys.key64(F.lit("anna"))).first()[0] == int(hashlib.md5(b"anna").hexdigest()[:15], 16)
