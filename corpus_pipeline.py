@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, language_id, mixing, near_dedup
-from tallyforge.llm.common import shared_folder
+from tallyforge.llm.common import shared_folder, ship
 from tallyforge.llm.queries import word_bpe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,6 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects: without a letter, or unlike every language learned from ``docs``."""
+    ship(spark)
     known = docs.filter(~language_id.held_out(F.col("doc_id"))).filter("doc_id is not null")
     return language_id.annotate(docs, language_id.fit(known)).filter("not rejected").select(*COLUMNS)
 
@@ -29,6 +30,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows that repeat an id are one document with it: of those one row stays.
     """
+    ship(spark)
     found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80, bands=20)
     kept = found.filter("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.filter("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
@@ -42,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text: doc_id, source, lang, n_tokens, ids."""
+    ship(spark)
     return bpe.encode_with(docs, word_bpe(), ["doc_id", "source", "lang"])
 
 

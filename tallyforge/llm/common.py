@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +22,25 @@ PIECE_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: their Python need not have it on its path."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped or not package.is_dir():
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{package.name}-package.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/{package.name}-package.zip")
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
