@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Combinator:
-    """``state`` maps (key, seq, value) to (key, value). ``sees_tombstones``: it handles null values itself."""
+    """``state`` maps (key, seq, value) to (key, value). ``sees_tombstones``: it handles null values itself.
+    ``closed``: a state's rows may stand in a log for all that they were folded from."""
 
     name: str
     state: Callable[[DataFrame], DataFrame]
     sees_tombstones: bool = False
+    closed: bool = True
 
 
 def by_aggregate(name: str, agg: Callable[[], Column], sees_tombstones: bool = False) -> Combinator:
@@ -83,7 +85,7 @@ def list_merge(inner: Combinator) -> Combinator:
         every = long.select("key").distinct().join(kept, "key", "left").select(F.col("key.key").alias("key"), F.col("key.k").alias("k"), F.col("value").alias("v"))
         return _entries(every, lambda: F.array_sort(F.collect_list(F.struct("k", "v"))))
 
-    return Combinator(f"list_merge({inner.name})", state)
+    return Combinator(f"list_merge({inner.name})", state, closed=inner.closed)
 
 
 def by_id(inner: Combinator, id_field: str = "id") -> Combinator:
@@ -93,7 +95,7 @@ def by_id(inner: Combinator, id_field: str = "id") -> Combinator:
         own = log.select(F.col(f"value.{id_field}").alias("key"), "seq", "value")
         return inner.state(own)
 
-    return Combinator(f"by_id({inner.name})", state)
+    return Combinator(f"by_id({inner.name})", state, closed=False)
 
 
 def last_non_empty(fields: list[str]) -> Combinator:
@@ -119,7 +121,7 @@ def unique_first(primary: str = "primary") -> Combinator:
         checked = F.when(F.col("low") != F.col("high"), F.raise_error(F.concat(F.lit("key is not unique: "), F.col("key").cast("string")))).otherwise(F.col("value"))
         return found.select("key", checked.alias("value"))
 
-    return Combinator("unique_first", state)
+    return Combinator("unique_first", state, closed=False)
 
 
 def _keyed_count(log: DataFrame) -> DataFrame:
@@ -134,19 +136,19 @@ def compact_index(features: int) -> Combinator:
     """Sets of longs, exact as an array while they have fewer than features / 10 members, beyond that a bloom filter of 1 %."""
     from .sketches import hybrid_sets
 
-    return Combinator("compact_index", lambda log: hybrid_sets(log, features))
+    return Combinator("compact_index", lambda log: hybrid_sets(log, features), closed=False)
 
 
 def compact_counts(most: int) -> Combinator:
     """Lists of (k, n), exact while they have fewer than most / 10 keys, beyond that counting filters."""
     from .sketches import hybrid_counts
 
-    return Combinator("compact_counts", lambda log: hybrid_counts(log, most))
+    return Combinator("compact_counts", lambda log: hybrid_counts(log, most), closed=False)
 
 
-def custom(name: str, state: Callable[[DataFrame], DataFrame]) -> Combinator:
+def custom(name: str, state: Callable[[DataFrame], DataFrame], closed: bool = False) -> Combinator:
     """A user's own."""
-    return Combinator(name, state, True)
+    return Combinator(name, state, True, closed)
 
 
 BY_NAME = {c.name: c for c in (LONG, LONG_TRY, INTEGER, FLOAT, DOUBLE, OVERWRITE, COUNT_MAP, COUNTS_LIST, LONG_LIST, STRING_SET, POSTINGS, KEYED_COUNT)}

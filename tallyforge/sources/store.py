@@ -1,10 +1,11 @@
-"""Stores on disk: an append-only log in 64 buckets, compaction, and a catalogue of stores."""
+"""Stores on disk: an append-only log in 64 buckets, compaction by generations, and a catalogue of stores."""
 
 from __future__ import annotations
 
 import re
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,11 @@ class StoreConfig:
 
 @dataclass
 class Store:
-    """A folder with the parts ``log`` (appended, in buckets) and ``state-<n>`` (compacted). One writer at a time.
+    """A folder with ``log`` (appended, by generation and bucket) and ``state-<generation>`` (compacted). One writer at a time.
 
-    Writes are visible after flush(), which writes what was buffered as one append.
+    Writes are visible after flush(), which writes what was buffered as one append. compact() begins a new generation:
+    reads then fold the compacted state with what was appended since, not the whole history. So the seq of a key's
+    writes must not fall from one flush to the next.
     """
 
     spark: SparkSession
@@ -50,6 +53,7 @@ class Store:
     folder: str
     pending: list[DataFrame] = field(default_factory=list)
     listeners: list = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
     closed: bool = False
 
     def _open(self) -> None:
@@ -75,30 +79,55 @@ class Store:
 
     def flush(self) -> Store:
         self._open()
-        for rows in self.pending:
-            rows.withColumn("bucket", bucket(F.col("key"))).write.partitionBy("bucket").mode("append").parquet(f"{self.folder}/log")
+        if self.pending:
+            rows = reduce(DataFrame.unionByName, self.pending).withColumn("gen", F.lit(self._generation())).withColumn("bucket", bucket(F.col("key")))
+            # few files for each bucket, and more than one task for a large one
+            rows.hint("rebalance", F.col("bucket")).write.partitionBy("gen", "bucket").mode("append").parquet(f"{self.folder}/log")
+        written, self.pending = self.pending, []
+        self._forget()
+        for rows in written:
             for tell in self.listeners:
                 tell("updated", rows)
-        self.pending.clear()
         for tell in self.listeners:
             tell("flushed", None)
         return self
 
+    def _path(self, part: str):
+        """A path and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _generation(self) -> int:
+        """How many compactions have been completed: a state counts once its job has committed."""
+        path, fs = self._path("state-*/_SUCCESS")
+        return max([int(f.getPath().getParent().getName().removeprefix("state-")) for f in fs.globStatus(path) or []], default=0)
+
     def _read(self, part: str, more: list[T.StructField]) -> DataFrame:
         schema = T.StructType([*self.config.schema.fields, *more])
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        path, fs = self._path(part)
+        there = fs.exists(path)
         return self.spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(f"{self.folder}/{part}") if there else self.spark.createDataFrame([], schema)
 
     def log(self) -> DataFrame:
-        """The flushed log with its bucket, a partition column."""
+        """The flushed log since the last compaction with its bucket, a partition column; first of all what was compacted."""
         self._open()
-        return self._read("log", [T.StructField("bucket", T.IntegerType())])
+        gen, own = self._generation(), T.StructField("bucket", T.IntegerType())
+        tail = self._read("log", [T.StructField("gen", T.IntegerType()), own]).filter(F.col("gen") >= gen).drop("gen")
+        return self._read(f"state-{gen:08d}", [own]).unionByName(tail) if gen else tail
 
     def state(self) -> DataFrame:
         self._open()
         found = fold(self.log().drop("bucket"), self.config.combinator)
-        return found.persist() if self.config.cached else found
+        if not self.config.cached:
+            return found
+        self.held.append(found.persist())
+        return found
+
+    def _forget(self) -> None:
+        """Frees cached states, which a write has made old."""
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
 
     def point(self, key: int | str) -> DataFrame:
         """One key's row, from its bucket's files alone."""
@@ -107,22 +136,44 @@ class Store:
         return fold(rows, self.config.combinator)
 
     def compact(self) -> DataFrame:
-        """Writes the folded state, ranged by key and sorted, so that filters on keys skip files and row groups."""
-        target = f"{self.folder}/state-{uuid.uuid4().hex}"
-        self.state().repartitionByRange("key").sortWithinPartitions("key").write.parquet(target)
-        return self.spark.read.parquet(target)
+        """Writes the folded state, ranged by bucket and key and sorted, so that filters on keys skip files and row groups,
+        and returns it.
+
+        Where the combinator is closed, each row carries the last seq of its key and the state replaces the log. A failure
+        before the end leaves the former generation in use. Readers of the former generation may go on until the next
+        compaction, which deletes it. Other states are only written to be read.
+        """
+        self._open()
+        if not self.config.combinator.closed:
+            target = f"{self.folder}/view-{uuid.uuid4().hex}"
+            self.state().repartitionByRange("key").sortWithinPartitions("key").write.parquet(target)
+            return self.spark.read.parquet(target)
+        gen = self._generation() + 1
+        log = self.log().drop("bucket")
+        last = log.groupBy(F.col("key").alias("__key")).agg(F.max("seq").alias("seq"))
+        found = fold(log, self.config.combinator)
+        rows = found.join(last, found["key"].eqNullSafe(last["__key"])).select(*[F.col(f.name).cast(f.dataType) for f in self.config.schema], bucket(F.col("key")).alias("bucket"))
+        target = f"{self.folder}/state-{gen:08d}"
+        rows.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").mode("overwrite").parquet(target)
+        self._forget()
+        for old in (f"state-{gen - 2:08d}", f"log/gen={gen - 2}"):
+            path, fs = self._path(old)
+            fs.delete(path, True)
+        return self._read(f"state-{gen:08d}", []).select("key", "value")
 
     def drop(self) -> None:
         """Removes all data."""
         self.pending.clear()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._forget()
+        path, fs = self._path("")
+        fs.delete(path, True)
         for tell in self.listeners:
             tell("dropped", None)
 
     def close(self) -> None:
         if not self.closed and self.config.temporary:
             self.drop()
+        self._forget()
         self.closed = True
 
     def __enter__(self) -> Store:

@@ -40,6 +40,35 @@ def test_write_flush_read(spark, tmp_path):
         store.state()
 
 
+@pytest.mark.parametrize("combinator", [C.LONG, C.OVERWRITE])
+def test_compaction_replaces_the_log(spark, tmp_path, combinator):
+    """Writes, tombstones and repeated compactions give what the fold of the whole log gives; old generations go."""
+    config = StoreConfig("c", "long", combinator, cached=True)
+    parts = [[(1, 0, 5), (2, 1, 1), (3, 2, 9), (-(2**63), 3, 4), (None, 3, 8)], [(1, 4, None), (1, 5, 3), (2, 6, 2)], [(3, 7, None), (4, 8, 1)], [(3, 9, 6), (1, 10, 1)]]
+    store = Catalog(spark, str(tmp_path)).create(config)
+    for n, part in enumerate(parts):
+        store.write(rows(spark, part[:1])).write(rows(spark, part[1:])).flush()
+        want = {tuple(r) for r in fold(rows(spark, sum(parts[: n + 1], [])), combinator).collect()}
+        assert {tuple(r) for r in store.state().collect()} == want
+        if n != 1:
+            assert {tuple(r) for r in store.compact().collect()} == want
+        assert {tuple(r) for r in Catalog(spark, str(tmp_path)).create(config).state().collect()} == want
+        assert {tuple(r) for r in store.point(1).collect()} == {r for r in want if r[0] == 1}
+    assert sorted(p.name for p in (tmp_path / "c").glob("state-*")) == ["state-00000002", "state-00000003"]
+    (tmp_path / "c" / "state-00000004").mkdir()  # a compaction that failed
+    assert {tuple(r) for r in store.state().collect()} == want
+    assert {tuple(r) for r in store.compact().collect()} == want
+
+
+def test_compaction_of_open_states(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path)).create(StoreConfig("h", "array<long>", C.compact_index(100)))
+    frame = spark.createDataFrame([(1, 0, [1, 2])], "key long, seq long, value array<long>")
+    store.write(frame).flush()
+    assert store.compact().first()["value"]["members"] == [1, 2]
+    store.write(frame.withColumn("value", F.array(F.lit(3).cast("long")))).flush()
+    assert store.state().first()["value"]["members"] == [1, 2, 3]
+
+
 def test_string_keys_and_reopen(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path))
     store = catalog.counts("logins")
