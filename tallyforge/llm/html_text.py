@@ -36,17 +36,21 @@ LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 #: Words of a class, id or role that mark what isn't main text.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|header|masthead|footer|foot|cookies?|consent|notices?|alerts?|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social|related|recommend\w*|widget\w*|comments?|replies|disqus|respond|pagination|pager|skip|toolbar|complementary|navigation|contentinfo|form)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What marks an advert also in the middle of a line of text.
+INLINE_MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*)(?:$|[\s_-])", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MARKING = frozenset(["class", "id", "role"])
 MIN_PAGES, MIN_SHARE = 5, 0.05
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "inside", "holds", "first", "parts")
+    __slots__ = ("tag", "dropped", "inside", "holds", "first", "parts", "before")
 
     def __init__(self, tag: str, dropped: bool, inside: bool, first: int) -> None:
         self.tag, self.dropped, self.inside, self.first = tag, dropped, inside, first
         self.holds = tag in ARTICLE  # an article
         self.parts: list[bytes] = []
+        self.before: list[str] | None = None  # the text of the line up to here, if this is dropped from a line
 
 
 class Page:
@@ -133,11 +137,18 @@ class Page:
         if rest and not dropped and tag not in ("html", "body", "article", "main"):
             for m in ATTRIBUTE.finditer(rest):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and MARKS.search(value):
+                if name == "hidden":
+                    dropped = True
+                elif not block:
+                    dropped |= name in MARKING and INLINE_MARKS.search(value) is not None
+                elif name == "aria-hidden" and value == "true" or name in MARKING and MARKS.search(value):
                     dropped = True
         if tag in ARTICLE and not dropped:
             self.article = True
-        self._stack.append(Node(tag, dropped, top.inside or tag in ARTICLE, len(self.blocks)))
+        node = Node(tag, dropped, top.inside or tag in ARTICLE, len(self.blocks))
+        if dropped and not top.dropped and not block:
+            node.before, self._text = self._text, []
+        self._stack.append(node)
 
     def _imply(self, tag: str, limits: tuple[str, ...]) -> None:
         """Closes an open ``tag`` that a start tag ends, if no element stands between that shields it."""
@@ -169,6 +180,8 @@ class Page:
         node = self._stack[-1]
         if node.tag in BLOCKS:
             self._flush()
+        elif node.before is not None:
+            self._text = node.before
         self._stack.pop()
         up = self._stack[-1]
         own = _hash(node.tag.encode("utf-8", "surrogatepass") + b">" + b"".join(node.parts))

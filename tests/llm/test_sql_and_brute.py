@@ -518,6 +518,10 @@ def test_page():
     assert text == "Title & more\n\nFirst bold text. Next\n\nSecond <p> 1 < 2\n\nOne\n\nTwo\n\na b\n\nc"
     for odd in ("", "<", "a < b", "<p", "<!--", "<p class='x>y", "<script>", "</p></b>", "<b><i>x</b>y</i>", "&#0; &bogus; &#xD800;", "<" * 5000, "<div>" * 3000 + "x"):
         html_text.Page(odd)
+    kept = '<body><div style="overflow:hidden" title="a hidden valley" data-role="search">one</div><p data-id="comment-3">two <code class="hljs-comment">three</code></p>'
+    assert [b for _, b in html_text.Page(kept).wanted()] == ["one", "two three"]
+    lines = '<div>one <button class=x>Buy</button>two<span class="ad">now <div>cheap</div>!</span> three</div><p>four <i hidden>not</i> <span id="sponsored">five</p><p hidden>six</p><p>seven'
+    assert [b for _, b in html_text.Page(lines).wanted()] == ["one two three", "four", "seven"]
     assert [b for _, b in html_text.Page("<body>plain<div>block</div>tail &eacute;").wanted()] == ["plain", "block", "tail é"]
 
 
