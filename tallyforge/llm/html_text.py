@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import cut, pieces, utf8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas audio video noframes".split())
@@ -270,7 +270,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     # rows with the same hash hold the same page, so it names a row well enough to delete by
     source = source.withColumn("row_hash", F.xxhash64("html", "host"))
-    subtrees = source.select("row_hash", "host", "html").mapInArrow(_subtrees, "row_hash long, host string, page long, subtree long, first int, past int")
+    # read twice below, and small beside the pages: kept, so that each page is parsed once for it
+    subtrees = cut(source.select("row_hash", "host", "html").mapInArrow(_subtrees, "row_hash long, host string, page long, subtree long, first int, past int"))
     recurring = recurring_subtrees(subtrees, source, min_pages, min_share)
     gone = subtrees.select("row_hash", "host", "subtree", "first", "past").distinct().join(recurring, ["host", "subtree"], "left_semi")
     gone = gone.groupBy("row_hash").agg(F.collect_list(F.struct("first", "past")).alias("gone"))
