@@ -5,6 +5,8 @@ Logs: ``events`` with key user_id, seq event_id and value floor(value); where to
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from ..operators import combinators as C
 from ..operators import index, ranking, reads, sketches
 from ..operators.fold import fold, ordered_fold
 from ..sources.files import bigram_stream, spread
+from ..sources.store import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -497,21 +500,42 @@ def inverted_index(spark, d):
     return found.select("token", F.explode("postings").alias("p")).select("token", "p.doc", F.col("p.offset").alias("pos"))
 
 
+def _shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the one that the cluster names for all executors; a temporary one in local runs without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix=f"{kind}-")
+    return f"{shared}/{kind}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH l AS ({TOMB}) SELECT key, CAST(sum(value) AS BIGINT) AS total FROM l WHERE value IS NOT NULL AND seq > coalesce((SELECT max(seq) FROM l t WHERE t.key = l.key AND t.value IS NULL), -1) GROUP BY key")
+def store_state(spark, d):
+    """Half of the log written and compacted, the rest written, the state read."""
+    log = event_log(spark, d, True)
+    half = log.agg(F.max("seq") / 2).first()[0] or 0
+    store = Catalog(spark, _shared_folder(spark, "stores")).counts("events")
+    store.write(log.filter(F.col("seq") <= half)).flush().compact()
+    return store.write(log.filter(F.col("seq") > half)).flush().state().withColumnRenamed("value", "total")
+
+
+@query(f"SELECT {KEY64.format("'user_7_logged_in'")} AS key, count(*) AS value FROM events WHERE user_id = 7 HAVING count(*) > 0")
+def store_point(spark, d):
+    """Counts under string keys, compacted; one key is read from its bucket."""
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit("_logged_in"))
+    store = Catalog(spark, _shared_folder(spark, "stores")).counts("logins")
+    store.increase(table(spark, d, "events").select(name.alias("key"), F.col("event_id").alias("seq"))).flush().compact()
+    return store.point("user_7_logged_in")
+
+
 @query(f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(value) AS BIGINT) AS total FROM (WITH l AS ({TOMB}) SELECT key, sum(value) AS value FROM l WHERE value IS NOT NULL AND seq > coalesce((SELECT max(seq) FROM l t WHERE t.key = l.key AND t.value IS NULL), -1) GROUP BY key)")
 def streaming_fold(spark, d):
     """The log as a stream, folded batch by batch into a maintained state."""
-    import tempfile
-    import uuid
-
     from ..streaming.incremental import maintain_sums
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     log = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "click", F.floor("value").cast("long")).alias("value"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="stream-")
-    last = maintain_sums(spark, log, f"{shared}/stream-{uuid.uuid4().hex}")
+    last = maintain_sums(spark, log, _shared_folder(spark, "stream"))
     return spark.read.parquet(last).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
