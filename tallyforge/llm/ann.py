@@ -21,16 +21,28 @@ from .common import cut, grouped
 
 POINTS, QUERIES = 4096, 512
 NEIGHBOURS = 10
+#: Parts by default, at least and at most, and the rows of the sample for each.
+FEWEST_PARTS, MOST_PARTS, SAMPLE_OF_PART = 32, 256, 256
+
+
+def parts_for(total: int) -> int:
+    """The largest power of two up to sqrt(total) / 32, within the bounds above: the finer the parts, the less is searched,
+    but each needs its share of a sample that one machine can learn from."""
+    parts = FEWEST_PARTS
+    while parts < MOST_PARTS and (2 * parts * 32) ** 2 <= total:
+        parts *= 2
+    return parts
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each vector, in blocks."""
     n, out = len(x), np.zeros((len(x), k), np.int64)
     square = (x * x).sum(axis=1)
-    for a in range(0, n, 512):
-        d = square[None, :] - 2 * x[a : a + 512] @ x.T
+    step = max(1, min(512, (1 << 22) // max(n, 1)))  # 32 MB a block
+    for a in range(0, n, step):
+        d = square[None, :] - 2 * x[a : a + step] @ x.T
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out[a : a + 512] = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out[a : a + step] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -211,13 +223,14 @@ def nearest(group: pa.Table, k: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_modulus: int = 100, sample_rows: int = 8192, recall: float = 0.96, rows_per_part: int = 60, most_parts: int = 32) -> DataFrame:
+def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_modulus: int = 100, sample_rows: int | None = None, recall: float = 0.96, rows_per_part: int = 60, most_parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``query_modulus``.
 
     score is the Euclidean distance in doubles; ties go to the smaller id. Rows with a null id, and vectors that are null, zero,
     hold null or non-finite components or aren't of the commonest length, take no part. A query's own id is never a
     candidate, even if other rows repeat it; repeated rows of another id count once. The index is fitted on about
-    ``sample_rows`` rows chosen by a hash of the id, which bounds what the driver gets; all rows are indexed. Rows of a
+    ``sample_rows`` rows chosen by a hash of the id, which bounds what the driver gets; all rows are indexed. By default
+    there are 32 parts, more for tables of millions of rows (see parts_for), and 256 rows of the sample for each. Rows of a
     part and its queries meet in blocks of about 4096 by 512, however many there are.
     """
     spark = table.sparkSession
@@ -230,6 +243,8 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     if not sizes:
         return empty
     dims, total = sizes[0]
+    most_parts = most_parts or parts_for(total)
+    sample_rows = sample_rows or SAMPLE_OF_PART * most_parts
     rows = rows.filter(F.size("v") == dims)
     share = int(min(1.0, sample_rows / total) * 1_000_000) + 1
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "v").toArrow()

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,24 @@ def test_ann_small(spark):
     assert ann.search(few.filter("false")).count() == 0 == ann.search(few.filter("vec_id < 10")).count()
 
 
+def test_ann_of_large_tables(spark):
+    """The number of parts that a table of millions of rows gets grows with it; more parts keep the recall."""
+    sizes = [ann.parts_for(n) for n in (0, 10**6, 2**22 - 1, 2**22, 2**24, 2**26, 10**12)]
+    assert sizes == [32, 32, 32, 64, 128, 256, 256]
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 16))[rng.integers(0, 200, 20_000)] + 0.4 * rng.standard_normal((20_000, 16))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(list(x))})).repartition(4)
+    found = {}
+    for r in ann.search(df, most_parts=64, sample_rows=16_384).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 20_000, 100):
+        d = np.square(x - x[q]).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert len(found) == 200 and hits >= 0.9 * 2000
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.standard_normal((128, 8)) + 9 * np.eye(8)[i % 8] for i in range(4)])
