@@ -256,6 +256,20 @@ def test_language_id_awkward(spark):
     assert {r["lang_pred"] for r in language_id.identify_held_out(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_keeps_every_gram(spark):
+    """A language of half a million four-grams, each of them commoner than any of a rare language of one text."""
+    rng = np.random.default_rng(5)
+    big = ["".join(map(chr, row)) for row in rng.integers(0x4E00, 0x9F00, (500, 1000))]
+    rare = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(t, "big") for t in big for _ in range(2)] + [(rare, "rare")], "text string, lang string").repartition(4)
+    model = language_id.fit(docs)
+    want = [len(np.unique(language_id.grams(texts)[0])) for texts in (big, [rare])]
+    assert model.langs == ["big", "rare"] and want[0] > 450_000
+    assert [len(m.probability[-1].hashes) for m in model.models] == want
+    asked = spark.createDataFrame([(1, "the lazy brown fox"), (2, big[0][:200])], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(asked, model).collect()} == {1: "rare", 2: "big"}
+
+
 # --- op5
 
 
