@@ -166,8 +166,9 @@ def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0) -> Index:
     return Index(router, parts, min(parts, probes))
 
 
-def _assign(shared, counts: dict[int, int], k: int):
-    """The part of each row; of queries the parts to search, as many more as hold k rows besides the query."""
+def _assign(shared, counts: dict[int, int], ids: dict[int, int], k: int):
+    """The part of each row; of queries the parts to search, as many more as hold k ids besides the query's. ``counts``
+    has the rows of each part, ``ids`` the ids, each counted in one of its parts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -183,7 +184,7 @@ def _assign(shared, counts: dict[int, int], k: int):
                 for order in ranked:
                     take, rows = 0, 0
                     while take < index.parts and (take < index.probes or rows < k + 1):
-                        rows += counts.get(int(order[take]), 0)
+                        rows += ids.get(int(order[take]), 0)
                         take += 1
                     found.append([int(p) for p in order[:take] if counts.get(int(p))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
@@ -209,17 +210,22 @@ def _search(k: int):
 
 
 def nearest(group: pa.Table, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest points of a block for each query of a block."""
+    """The k nearest ids of a block for each query of a block, each at its nearest row."""
     ids, query, x = group.column("id").to_numpy(), group.column("query").to_numpy(zero_copy_only=False).astype(bool), vectors(group.column("v"))
     points, names, out = x[~query], ids[~query], []
     if not len(points):
         return []
+    order = np.argsort(names, kind="stable")
+    points, names = points[order], names[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    own = names[first]
     for q, v in zip(ids[query], x[query]):
         d = np.sqrt(np.square(points - v).sum(axis=1))
         d[names == q] = np.inf
+        d = np.minimum.reduceat(d, first)
         pick = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-        pick = pick[np.lexsort((names[pick], d[pick]))][:k]
-        out += [(int(q), int(names[i]), float(d[i])) for i in pick if d[i] != np.inf]
+        pick = pick[np.lexsort((own[pick], d[pick]))][:k]
+        out += [(int(q), int(own[i]), float(d[i])) for i in pick if d[i] != np.inf]
     return out
 
 
@@ -228,8 +234,8 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
 
     score is the Euclidean distance in doubles; ties go to the smaller id. Rows with a null id, and vectors that are null, zero,
     hold null or non-finite components or aren't of the commonest length, take no part. A query's own id is never a
-    candidate, even if other rows repeat it; repeated rows of another id count once. The index is fitted on about
-    ``sample_rows`` rows chosen by a hash of the id, which bounds what the driver gets; all rows are indexed. By default
+    candidate, even if other rows repeat it; repeated rows of another id count once, and an id of several vectors stands
+    at its nearest. Equal rows are made one before all else. The index is fitted on about ``sample_rows`` rows chosen by a hash of id and vector, which bounds what the driver gets; all rows are indexed. By default
     there are 32 parts, more for tables of millions of rows (see parts_for), and 256 rows of the sample for each. Rows of a
     part and its queries meet in blocks of about 4096 by 512, however many there are.
     """
@@ -237,7 +243,7 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = rows.filter(fine)
+    rows = cut(rows.filter(fine).distinct())
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
@@ -247,7 +253,7 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     sample_rows = sample_rows or SAMPLE_OF_PART * most_parts
     rows = rows.filter(F.size("v") == dims)
     share = int(min(1.0, sample_rows / total) * 1_000_000) + 1
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "v").toArrow()
+    sample = rows.filter(F.pmod(F.xxhash64("id", "v"), F.lit(1_000_000)) < share).select("id", "v").toArrow()
     x = vectors(sample.column("v"))[np.argsort(sample.column("id").to_numpy(), kind="stable")]
     parts = 1
     while parts < most_parts and parts * rows_per_part < total:
@@ -256,10 +262,11 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     shared = spark.sparkContext.broadcast(index)
 
     schema = "id long, v array<double>, parts array<int>"
-    points = cut(rows.mapInArrow(_assign(shared, {}, k), schema).select("id", "v", F.element_at("parts", 1).alias("part")))
+    points = cut(rows.mapInArrow(_assign(shared, {}, {}, k), schema).select("id", "v", F.element_at("parts", 1).alias("part")))
     counts = {r[0]: r[1] for r in points.groupBy("part").count().collect()}
+    ids = {r[0]: r[1] for r in points.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect()}
     queries = rows.filter(F.col("id") % query_modulus == 0)
-    asked = cut(queries.mapInArrow(_assign(shared, counts, k), schema).select("id", "v", F.explode("parts").alias("part")))
+    asked = cut(queries.mapInArrow(_assign(shared, counts, ids, k), schema).select("id", "v", F.explode("parts").alias("part")))
     q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
     if not q_counts:
         return empty
@@ -268,9 +275,9 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         return F.element_at(F.create_map(*[F.lit(y) for p, n in of.items() for y in (p, -(-n // size))]), F.col("part"))
 
     both = {p: counts[p] for p in q_counts if counts.get(p)}
-    placed = points.filter(F.col("part").isin(list(both))).withColumn("mine", F.pmod(F.xxhash64("id"), blocks(both, POINTS)))
+    placed = points.filter(F.col("part").isin(list(both))).withColumn("mine", F.pmod(F.xxhash64("id", "v"), blocks(both, POINTS)))
     placed = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks(q_counts, QUERIES) - 1)))
-    put = asked.withColumn("theirs", F.pmod(F.xxhash64("id", F.lit(1)), blocks(q_counts, QUERIES))).withColumn("mine", F.explode(F.sequence(F.lit(0), blocks(both, POINTS) - 1)))
+    put = asked.withColumn("theirs", F.pmod(F.xxhash64("id", "v", F.lit(1)), blocks(q_counts, QUERIES))).withColumn("mine", F.explode(F.sequence(F.lit(0), blocks(both, POINTS) - 1)))
     task = F.xxhash64("part", F.col("mine").cast("long"), F.col("theirs").cast("long"))
     met = placed.select(task.alias("task"), F.lit(False).alias("query"), "id", "v").unionByName(put.select(task.alias("task"), F.lit(True).alias("query"), "id", "v"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

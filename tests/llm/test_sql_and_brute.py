@@ -90,6 +90,22 @@ def test_ann_small(spark):
     assert ann.search(few.filter("false")).count() == 0 == ann.search(few.filter("vec_id < 10")).count()
 
 
+def test_ann_of_repeated_rows(spark):
+    """Copies of rows change nothing, and an id of many vectors hides no other."""
+    rng = np.random.default_rng(8)
+    x = [(i, v) for i, v in enumerate(rng.standard_normal((600, 8)).tolist())]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    four = df.unionByName(df).unionByName(df).unionByName(df)
+    assert sorted(ann.search(four).collect()) == sorted(ann.search(df).collect())
+    hot = [*x[:30], *((7, [c + 1e-3 * j for c in x[0][1]]) for j in range(25))]
+    got = [(r["vec_id"], r["score"]) for r in ann.search(spark.createDataFrame(hot, df.schema)).orderBy("rank").collect()]
+    near = {}
+    for i, v in hot[1:]:
+        near[i] = min(near.get(i, math.inf), float(np.sqrt(np.square(np.array(v) - x[0][1]).sum())))
+    want = sorted((d, i) for i, d in near.items())[:10]
+    assert [i for i, _ in got] == [i for _, i in want] and np.allclose([s for _, s in got], [d for d, _ in want])
+
+
 def test_ann_of_large_tables(spark):
     """The number of parts that a table of millions of rows gets grows with it; more parts keep the recall."""
     sizes = [ann.parts_for(n) for n in (0, 10**6, 2**22 - 1, 2**22, 2**24, 2**26, 10**12)]
