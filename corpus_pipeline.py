@@ -26,15 +26,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 of their five-word shingles, the smallest id stays.
+    """Of each group of rows linked by a similarity of 0.8 of their five-word shingles one row stays: that of the smallest id,
+    or any where all ids are null.
 
-    Rows that repeat an id are one document with it: of those one row stays.
+    Each row goes by its own text, so rows that repeat an id with unrelated texts all stay. Texts without a shingle are
+    in no group; of equal rows of id and text one stays.
     """
     ship(spark)
-    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80, bands=20)
-    kept = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return one.unionByName(docs.filter("doc_id is null").select(*COLUMNS).dropDuplicates(["text"]))
+    text = F.concat(F.when(F.col("text").isNull(), "-").otherwise("|"), F.coalesce("text", F.lit("")))
+    docs = docs.select(*COLUMNS, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)).alias("mark"))
+    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80, bands=20, mark=F.col("mark"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    kept = found.groupBy(F.coalesce(F.col("group").cast("string"), "mark")).agg(first.alias("first")).select("first.mark")
+    return docs.join(kept, "mark").dropDuplicates(["mark"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,14 +88,15 @@ def _sketches(k: int, m: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
+            more = [c for c in batch.schema.names if c not in ("id", "text")]
             for a, b in pieces(offsets):
                 sets = shingle_sets(data, offsets[a : b + 1], k)
                 keys = band_keys(super_minhash(sets, m), bands).view(np.int64)
                 filled = np.array([len(s) > 0 for s in sets], bool)
                 lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, keys.reshape(-1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), lists.filter(pa.array(filled)) if filled.all() else pa.array([x if f else None for x, f in zip(keys.tolist(), filled)], pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "node", "keys"],
+                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), lists.filter(pa.array(filled)) if filled.all() else pa.array([x if f else None for x, f in zip(keys.tolist(), filled)], pa.list_(pa.int64())), *[batch.column(c).slice(a, b - a) for c in more]],
+                    ["id", "n_shingles", "node", "keys", *more],
                 )
 
     return run
@@ -209,7 +210,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, percent: int = 85, bands: int = 16, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, mark: F.Column | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. Two rows are linked when
@@ -219,11 +220,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have an empty set and stand alone. A null id takes part in no minimum: such a row gets the
     smallest id of its group, or null, and kept is then false, or true if it stands alone. Repeated rows and ids are kept; each row goes by
-    its own text. Further columns are ignored.
+    its own text. Further columns are ignored. With ``mark``, a string column that tells rows apart, the result has it too,
+    and ``group``: one number for all rows linked, whatever their ids, null for an empty set.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut(source.mapInArrow(_sketches(shingle_words, bands * rows, bands), "id long, n_shingles long, node long, keys array<long>"))
+    marked = source if mark is None else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    schema = "id long, n_shingles long, node long, keys array<long>" + (", mark string" if mark is not None else "")
+    base = cut(marked.mapInArrow(_sketches(shingle_words, bands * rows, bands), schema))
     nodes = cut(base.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
 
     members = nodes.select("node", "copies", "n", F.explode("keys").alias("key"))
@@ -262,7 +266,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     home = nodes.select("node", "least_id").join(groups, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp"))
     least = home.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    home = home.join(least, "comp").select("node", "component_id")
-    out = base.select("id", "n_shingles", "node").join(home, "node", "left")
+    home = home.join(least, "comp").select("node", "component_id", F.col("comp").alias("group"))
+    further = [] if mark is None else ["mark"]
+    out = base.select("id", "n_shingles", "node", *further).join(home, "node", "left")
+    further += [] if mark is None else ["group"]
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.when(own.isNull(), True).otherwise(F.coalesce(F.col("id") == own, F.lit(False))).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.when(own.isNull(), True).otherwise(F.coalesce(F.col("id") == own, F.lit(False))).alias("kept"), *further)

@@ -606,6 +606,24 @@ def test_pipeline(spark, library):
         assert r["ids"] == library.encode(rows[r["doc_id"]]["text"], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null ids and ids of several texts go by their own texts."""
+    texts = near_copies(60) + [f"other text number {i} of no kin at all" for i in range(20)] + ["", None, "", None]
+    rng = random.Random(4)
+    ids = [rng.choice([None, *range(25)]) for _ in texts]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts)], DOC).repartition(3)
+    sets, group = brute_components(list(range(len(texts))), texts, 5, 80)
+    members = defaultdict(list)
+    for i, t, s, g in zip(ids, texts, sets, group):
+        members[g if s else (i, t)].append((i is None, i or 0, t))
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, df, SF).collect()]
+    assert len(out) == len(members) > 30
+    for rows in members.values():
+        least = min(r[:2] for r in rows)
+        mine = [o for o in out if (o[0] is None, o[0] or 0, o[1]) in rows]
+        assert len(mine) == 1 and (mine[0][0] is None, mine[0][0] or 0) == least
+
+
 def test_pipeline_awkward(spark, tmp_path):
     df, _ = awkward(spark)
     df.write.parquet(f"{tmp_path}/documents.parquet")
