@@ -34,7 +34,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixity.audit(*fixity.drill(fixity.records(table(spark, sf_dir, "pages"))))
+    ours, theirs = fixity.drill(fixity.records(table(spark, sf_dir, "pages")))
+    return fixity.audit(fixity.manifest(ours), fixity.manifest(theirs))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

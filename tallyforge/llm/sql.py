@@ -54,11 +54,19 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS
   CAST(coalesce(levels, 0) AS BIGINT) AS quote_levels, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked, clean AS text, '<|' || role || '|>' || chr(10) || clean || chr(10) || '<|end|>' || chr(10) AS formatted FROM every
 """,
     "op5_fixity": r"""
-WITH bytes AS (SELECT page_id, page_id // 256 AS file, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM pages),
-placed AS (SELECT file, row_number() OVER w - 1 AS ordinal, page_id AS record_id, CAST(sum(octet_length(record)) OVER w AS BIGINT) - octet_length(record) AS record_offset, octet_length(record) AS length, sha256(record) AS digest,
-  substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS sign FROM bytes WINDOW w AS (PARTITION BY file ORDER BY page_id))
-SELECT file, ordinal, record_id, record_offset, length, digest, CASE sign WHEN '00' THEN 'damaged' WHEN '01' THEN 'missing' ELSE 'ok' END AS status,
-  bool_or(sign IN ('00', '01')) OVER (PARTITION BY file, ordinal // 16) AS descended FROM placed
+WITH named AS (SELECT page_id AS id, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS m, coalesce(url, '') AS url, coalesce(html, '') AS html,
+  substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS sign, chr(13) || chr(10) AS e FROM pages),
+text_ AS (SELECT id, sign, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '>' || e
+  || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || url || e || 'Content-Type: text/html' || e || 'Content-Length: ' || octet_length(encode(html)) || e || e || html || e || chr(13) AS body FROM named),
+ours_ AS (SELECT id, sha256(encode(body || chr(10))) AS digest, octet_length(encode(body)) + 1 AS length FROM text_ WHERE sign NOT IN ('04', '05')),
+theirs_ AS (SELECT id, sha256(encode(body || CASE WHEN sign IN ('00', '01') THEN '?' ELSE chr(10) END)) AS digest, octet_length(encode(body)) + 1 AS length FROM text_, range(CASE WHEN sign IN ('06', '07') THEN 2 ELSE 1 END) t(i) WHERE sign NOT IN ('02', '03')),
+rows_ AS (SELECT 0 AS side, id, digest, length, count(*) AS copies FROM ours_ GROUP BY ALL UNION ALL SELECT 1, id, digest, length, count(*) FROM theirs_ GROUP BY ALL),
+parted AS (SELECT *, id >> 8 AS file, CAST(('0x' || substr(digest, 1, 8))::BIGINT % CAST(ceil(count(*) OVER (PARTITION BY side, id >> 8) / 4096.0) AS BIGINT) AS INTEGER) AS part FROM rows_),
+placed AS (SELECT *, CAST(sum(length * copies) OVER (PARTITION BY side, file, part ORDER BY id NULLS FIRST, digest) - length * copies AS BIGINT) AS record_offset FROM parted),
+pair AS (SELECT id, digest, length, file, CAST(coalesce(max(copies) FILTER (side = 0), 0) AS BIGINT) AS copies, CAST(coalesce(max(copies) FILTER (side = 1), 0) AS BIGINT) AS their_copies, max(part) FILTER (side = 0) AS part,
+  max(record_offset) FILTER (side = 0) AS record_offset, max(part) FILTER (side = 1) AS their_part, max(record_offset) FILTER (side = 1) AS their_offset FROM placed GROUP BY ALL),
+flags AS (SELECT *, bool_or(copies > their_copies) OVER w AS short, bool_or(copies < their_copies) OVER w AS more, bool_or(copies <> their_copies) OVER (PARTITION BY id >> 4) AS descended FROM pair WINDOW w AS (PARTITION BY id))
+SELECT id AS record_id, digest, CAST(length AS BIGINT) AS length, copies, their_copies, descended, file, part, record_offset, CASE WHEN short OR more THEN their_part END AS their_part, CASE WHEN short OR more THEN their_offset END AS their_offset,
+  CASE WHEN copies > their_copies THEN CASE WHEN more THEN 'damaged' ELSE 'missing' END WHEN copies < their_copies THEN CASE WHEN short THEN 'altered' ELSE 'added' END ELSE 'ok' END AS status FROM flags
 """,
 }

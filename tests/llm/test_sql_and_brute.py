@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -289,27 +289,68 @@ def test_language_id_keeps_every_gram(spark):
 # --- op5
 
 
+def brute_audit(ours, theirs):
+    """{(id, digest): (status, copies, their copies)} of two lists of (id, bytes)."""
+    sides = [Counter((i, hashlib.sha256(r).hexdigest()) for i, r in x) for x in (ours, theirs)]
+    short, more = ({k[0] for k in sides[0] | sides[1] if sign * (sides[0][k] - sides[1][k]) > 0} for sign in (1, -1))
+    out = {}
+    for k in sides[0] | sides[1]:
+        a, b = sides[0][k], sides[1][k]
+        out[k] = ("ok" if a == b else ("damaged" if k[0] in more else "missing") if a > b else "altered" if k[0] in short else "added", a, b)
+    return out
+
+
 def test_fixity(spark, tmp_path):
     pages = [(i, f"http://h/{i}", "<p>é</p>" * (i % 7)) for i in range(1200)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     df.coalesce(1).write.parquet(f"{tmp_path}/p")
     stored = fixity.records(df.withColumn("file", F.lit(1)).repartition(3))
     ours, theirs = fixity.drill(stored)
-    out = fixity.audit(ours, theirs)
+    out = fixity.audit(fixity.manifest(ours), fixity.manifest(theirs))
     rows = [tuple(r) for r in out.collect()]
     assert comparable(out.columns, rows) == sql_rows("op5_fixity", {"pages": f"{tmp_path}/p/*.parquet"})[1]
-    same = fixity.audit(ours, ours)
-    assert same.filter("status <> 'ok' or descended").count() == 0 and same.count() == 1200
-    back = fixity.audit(theirs, ours)
-    assert {r["status"] for r in back.select("status").distinct().collect()} == {"ok", "damaged", "added"}
+    assert {r["status"] for r in out.collect()} == {"ok", "damaged", "altered", "missing", "added"}
+    same = fixity.audit(fixity.manifest(ours), fixity.manifest(ours))
+    assert same.filter("status <> 'ok' or descended").count() == 0
+
+
+def test_fixity_of_replicas_placed_on_their_own(spark, monkeypatch):
+    """Losses, additions, damage and repeats in one file are found, and nothing else; offsets are those of each replica."""
+    ours = [(i, b"record %d" % (i % 40) * (1 + i % 3)) for i in range(512)] + [(7, b"twice"), (7, b"twice"), (None, b"nameless"), (None, b"other"), (-5, b"below"), (2**62, b"far")]
+    theirs = [(i, r[:-1] + b"?") if i in (9, 300) else (i, r) for i, r in ours if i != 3]
+    theirs += [(1000, b"new"), (20, ours[20][1]), (-5, b"more"), (None, b"third")]
+    theirs.remove((7, b"twice"))
+    monkeypatch.setattr(fixity, "PART_RECORDS", 100)
+    sides = [fixity.manifest(spark.createDataFrame([(i, bytearray(r)) for i, r in x], "record_id long, record binary").repartition(3)) for x in (ours, theirs)]
+    got = fixity.audit(*sides).collect()
+    want = brute_audit(ours, theirs)
+    assert {(r["record_id"], r["digest"]): (r["status"], r["copies"], r["their_copies"]) for r in got} == want and len(got) == len(want)
+    assert sum(s == "missing" for s, _, _ in want.values()) == 2 and sum(s == "damaged" for s, _, _ in want.values()) == 2
+    ranges = {None if i is None else i >> 4 for (i, _), (s, _, _) in want.items() if s != "ok"}
+    assert all(r["descended"] == ((None if r["record_id"] is None else r["record_id"] >> 4) in ranges) for r in got)
+    # the records of each part lie one after the other
+    for x, side in zip((ours, theirs), sides):
+        at, total = {}, 0
+        for r in side.orderBy("file", "part", "record_offset").collect():
+            assert at.get((r["file"], r["part"]), 0) == r["record_offset"]
+            at[r["file"], r["part"]] = r["record_offset"] + r["copies"] * r["length"]
+            total += r["copies"]
+        assert total == len(x) and max(p for _, p in at) >= 2
+
+
+def test_fixity_finds_one_lost_record(spark):
+    stored = fixity.records(spark.range(512).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("x").alias("html")))
+    found = fixity.audit(fixity.manifest(stored), fixity.manifest(stored.filter("record_id <> 3")))
+    assert {(r["status"], r["descended"]): r["count"] for r in found.groupBy("status", "descended").count().collect()} == {("missing", True): 1, ("ok", True): 15, ("ok", False): 496}
 
 
 def test_fixity_awkward(spark):
     df = spark.createDataFrame([(None, None, None), (-5, "u", ""), (7, "u", "x"), (7, "u", "x"), (10**9, "v", "y" * 10**6)], "page_id long, url string, html string")
-    leaf = fixity.leaves(fixity.manifest(fixity.records(df)))
-    assert fixity.audit(leaf, leaf.filter("record_id is not null")).filter("status = 'missing'").count() == 1
-    assert fixity.audit(leaf, leaf).count() == 5 and fixity.audit(leaf.filter("false"), leaf).filter("status = 'added'").count() == 5
-    assert fixity.audit(leaf.filter("false"), leaf.filter("false")).count() == 0
+    stored = fixity.records(df)
+    leaf, named, none = (fixity.manifest(x) for x in (stored, stored.filter("record_id is not null"), stored.filter("false")))
+    assert fixity.audit(leaf, named).filter("status = 'missing'").count() == 1 == fixity.audit(named, leaf).filter("status = 'added'").count()
+    assert fixity.audit(leaf, leaf).agg(F.sum("copies")).first()[0] == 5 and fixity.audit(none, leaf).filter("status = 'added'").count() == 4
+    assert fixity.audit(none, none).count() == 0
 
 
 def test_read_warc(spark, tmp_path):
@@ -321,6 +362,7 @@ def test_read_warc(spark, tmp_path):
     got = fixity.read_warc(spark, str(tmp_path / "w")).orderBy("path", "record_offset").collect()
     assert [bytes(r["record"]) for r in got if r["record"] is not None] == stored + stored[:4]
     assert [r["error"] is None for r in got].count(False) == 1
+    assert stored[0].count(b"WARC-Record-ID: <urn:uuid:") == 1 == stored[0].count(b"\r\nWARC-Date: ") and b"WARC-Type: resource" in stored[0]
     placed = fixity.manifest(fixity.records(df)).orderBy("record_id").collect()
     assert [r["record_offset"] for r in placed] == [r["record_offset"] for r in got][:5]
 
