@@ -93,7 +93,8 @@ def manifest(stored: DataFrame) -> DataFrame:
     a task. Bytes are hashed where they lie: what is dealt out to be placed is a digest.
     """
     rows = stored.select(F.col("record_id").cast("long").alias("record_id"), F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"))
-    rows = rows.groupBy("record_id", "digest", "length").agg(F.count("*").alias("copies")).withColumn("file", F.shiftright("record_id", FILE_BITS))
+    # read twice below; kept, so that records are read and hashed once
+    rows = cut(rows.groupBy("record_id", "digest", "length").agg(F.count("*").alias("copies"))).withColumn("file", F.shiftright("record_id", FILE_BITS))
     large = rows.groupBy(F.col("file").alias("__file")).agg(F.count("*").alias("__n")).filter(F.col("__n") > PART_RECORDS)
     rows = rows.join(large, F.col("file").eqNullSafe(F.col("__file")), "left")
     part = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.ceil(F.coalesce("__n", F.lit(1)) / PART_RECORDS))
