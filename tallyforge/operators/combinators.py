@@ -24,7 +24,7 @@ def by_aggregate(name: str, agg: Callable[[], Column], sees_tombstones: bool = F
     return Combinator(name, lambda log: log.groupBy("key").agg(agg().alias("value")).filter("value is not null"), sees_tombstones)
 
 
-#: Sums. A sum beyond its type is an error; LONG_WRAP gives null instead.
+#: Sums. A sum beyond its type is an error; LONG_TRY gives null instead.
 LONG = by_aggregate("long", lambda: F.sum(F.col("value").cast("long")))
 LONG_TRY = by_aggregate("long_try", lambda: F.try_sum(F.col("value").cast("long")))
 INTEGER = by_aggregate("integer", lambda: F.sum(F.col("value").cast("long")).cast("int"))
@@ -98,6 +98,21 @@ def by_id(inner: Combinator, id_field: str = "id") -> Combinator:
     return Combinator(f"by_id({inner.name})", state, closed=False)
 
 
+def ids(inner: Combinator) -> Combinator:
+    """Objects (id, body) under the hash of their id: each id is folded by ``inner`` on its own; a null body removes it."""
+    from .fold import fold
+
+    def state(log: DataFrame) -> DataFrame:
+        own = log.select(F.struct("key", F.col("value.id").alias("id")).alias("key"), "seq", F.col("value.body").alias("value"))
+        return fold(own, inner).select(F.col("key.key").alias("key"), F.struct(F.col("key.id").alias("id"), F.col("value").alias("body")).alias("value"))
+
+    return Combinator(f"ids({inner.name})", state, True, inner.closed)
+
+
+#: The different values of a key, a row for each.
+ENTRIES = Combinator("entries", lambda log: log.select("key", "value").distinct(), True)
+
+
 def last_non_empty(fields: list[str]) -> Combinator:
     """Objects merged field by field: the last value that is neither null nor an empty string."""
 

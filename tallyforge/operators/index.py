@@ -11,22 +11,23 @@ Indexer = Callable[[Column], Column]
 
 
 def multi_index(state: DataFrame, indexer: Indexer) -> DataFrame:
-    """(ikey, key, value): a row for each distinct index key of each value. ``indexer`` gives an array."""
-    return state.select(F.explode(F.array_distinct(indexer(F.col("value")))).alias("ikey"), "key", "value")
+    """(ikey, key): a row for each distinct index key of each value. ``indexer`` gives an array. Values stay where they are."""
+    return state.select(F.explode(F.array_distinct(indexer(F.col("value")))).alias("ikey"), "key")
 
 
-def postings(index: DataFrame, ikey) -> DataFrame:
-    return index.filter(F.col("ikey") == F.lit(ikey)).select("key", "value")
+def postings(state: DataFrame, indexer: Indexer, ikey) -> DataFrame:
+    """(key, value) of the rows with an index key, by one pass over the state."""
+    return state.filter(F.array_contains(indexer(F.col("value")), F.lit(ikey))).select("key", "value")
 
 
-def by_example(index: DataFrame, indexer: Indexer, example) -> DataFrame:
+def by_example(state: DataFrame, indexer: Indexer, example) -> DataFrame:
     """The rows that share any index key with the example, each once."""
-    return index.filter(F.array_contains(F.array_distinct(indexer(F.lit(example))), F.col("ikey"))).select("key", "value").distinct()
+    return state.filter(F.arrays_overlap(indexer(F.col("value")), indexer(F.lit(example)))).select("key", "value")
 
 
-def by_index_key(index: DataFrame, predicate: Column) -> DataFrame:
+def by_index_key(state: DataFrame, indexer: Indexer, predicate: Callable[[Column], Column]) -> DataFrame:
     """The rows with an index key that passes, each once."""
-    return index.filter(predicate).select("key", "value").distinct()
+    return state.filter(F.exists(indexer(F.col("value")), predicate)).select("key", "value")
 
 
 def unique_index(state: DataFrame, indexer: Indexer) -> DataFrame:
@@ -38,6 +39,15 @@ def unique_index(state: DataFrame, indexer: Indexer) -> DataFrame:
 
 
 def inverted(documents: DataFrame, tokens: Column) -> DataFrame:
-    """(token, postings): each token's (doc, offset) in the order of documents, from (key, value)."""
-    at = documents.select("key", F.posexplode(tokens).alias("offset", "token"))
-    return at.groupBy("token").agg(F.array_sort(F.collect_list(F.struct(F.col("key").alias("doc"), "offset"))).alias("postings"))
+    """(token, doc, offset) from (key, value), a row for each token of each text: a common token fills no row or task."""
+    return documents.select(F.col("key").alias("doc"), F.posexplode(tokens).alias("offset", "token")).select("token", "doc", "offset")
+
+
+def write_inverted(rows: DataFrame, path: str) -> None:
+    """Stores an inverted index in the order of token, document and offset, so that a filter on token reads few row groups."""
+    rows.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc", "offset").write.mode("overwrite").parquet(path)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """(token, postings): the (doc, offset) of each token in one row, for the few tokens that were asked for."""
+    return rows.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc", "offset"))).alias("postings"))

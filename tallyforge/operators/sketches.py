@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,12 +21,11 @@ class Size:
 
     @classmethod
     def of(cls, n: int, fpp: float) -> Size:
-        n = n or 100
-        if n > 2**31 - 1:
-            raise ValueError("more than 2**31 - 1 members")
-        bits = int(-n * math.log(fpp) / math.log(2) ** 2)
-        hashes = max(1, round(bits // n * math.log(2)))
-        return cls(-(-max(bits, 1) // 64) * 64, hashes)
+        """For ``n`` members and a share ``fpp`` of false positives: -n ln(fpp) / ln(2)**2 bits, ln(2) times the bits of a member as hashes."""
+        if n < 1 or not 0 < fpp < 1:
+            raise ValueError("a filter needs a member or more, and a share of false positives between 0 and 1")
+        bits = -n * math.log(fpp) / math.log(2) ** 2
+        return cls(64 * math.ceil(bits / 64), max(1, round(bits / n * math.log(2))))
 
 
 def bits_of(keys: DataFrame, size: Size) -> DataFrame:
@@ -63,10 +63,47 @@ def expected_fpp(bits: DataFrame, size: Size) -> DataFrame:
     return bits.agg(F.pow(F.count("*") / F.lit(float(size.bits)), F.lit(float(size.hashes))).alias("fpp"))
 
 
-def cells_of(counted: DataFrame, size: Size, most: int = 255) -> DataFrame:
-    """(cell, n) of a counting filter for (key, n): sums that saturate. They merge by the same sum, so estimates are never too low."""
+def with_check_sum(words: DataFrame, size: Size, check_sum: str) -> DataFrame:
+    """(check_sum, hashes, bits, word, mask): a filter as it is stored, with what it needs to be read."""
+    return words.select(F.lit(check_sum).alias("check_sum"), F.lit(size.hashes).alias("hashes"), F.lit(size.bits).cast("long").alias("bits"), "word", "mask")
+
+
+def _size_of(words: DataFrame) -> Size | None:
+    found = words.select("hashes", "bits").head(1)
+    return Size(found[0]["bits"], found[0]["hashes"]) if found else None
+
+
+def words_fpp(words: DataFrame) -> DataFrame:
+    """(fpp): the expected share of false positives of a stored filter."""
+    return words.agg(F.pow(F.sum(F.bit_count("mask")) / F.max("bits"), F.max("hashes")).alias("fpp"))
+
+
+def words_contain(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, present) of the distinct requested keys by a stored filter."""
+    size = _size_of(words)
+    asked = keys.select("key").distinct()
+    if size is None:
+        return asked.select("key", F.lit(False).alias("present"))
+    at = asked.select("key", F.explode(F.array_distinct(probes(F.col("key"), size.hashes, size.bits))).alias("bit"))
+    at = at.withColumn("word", F.floor(F.col("bit") / 64).cast("long")).join(words.select("word", "mask"), "word", "left")
+    is_set = F.call_function("getbit", F.coalesce("mask", F.lit(0).cast("long")), (F.col("bit") % 64).cast("int")) == 1
+    return at.groupBy("key").agg(F.bool_and(is_set).alias("present"))
+
+
+def cells_of(counted: DataFrame, size: Size, most: int = 255, conservative: bool = True) -> DataFrame:
+    """(cell, n) of a counting filter for (key, n), a row for each key; counts saturate at ``most``.
+
+    A conservative filter raises a cell no further than its keys need: as each key comes with its whole count, a cell
+    holds the largest count of its keys, not their sum. Either way no estimate is too low, nor is one after a merge by sum.
+    """
     at = counted.select(F.explode(F.array_distinct(probes(F.col("key"), size.hashes, size.bits))).alias("cell"), "n")
-    return at.groupBy("cell").agg(F.least(F.sum("n"), F.lit(most)).cast("long").alias("n"))
+    n = F.max("n") if conservative else F.sum("n")
+    return at.groupBy("cell").agg(F.least(n, F.lit(most)).cast("long").alias("n"))
+
+
+def cells_fpp(cells: DataFrame, size: Size) -> DataFrame:
+    """(fpp): the expected share of keys never counted that get a count."""
+    return cells.agg(F.pow(F.count("*") / F.lit(float(size.bits)), F.lit(float(size.hashes))).alias("fpp"))
 
 
 def merge_cells(a: DataFrame, b: DataFrame, most: int = 255) -> DataFrame:
@@ -79,51 +116,139 @@ def max_count(cells: DataFrame, keys: DataFrame, size: Size) -> DataFrame:
     return asked.join(cells, "cell", "left").groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).cast("long").alias("n"))
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df`` with a key that Spark knows no partitioning of. Spark 4.1 takes a union of parts that are partitioned alike to be so
+    itself, also where adaptive execution has joined partitions of one part, and then groups without a shuffle that it needs."""
+    return df.withColumn("key", F.element_at(F.array("key"), 1))
+
+
+def _in_order(rows: DataFrame, by: list[str], place: str, value: str, name: str) -> DataFrame:
+    """An array of ``value`` by ``place`` for each of ``by``."""
+    return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias(name))
+
+
+def _places(n: int) -> Column:
+    """(place, mask) of ``n`` empty words or cells, so that none is missing from an array of them."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.struct(i.alias("place"), F.lit(0).cast("long").alias("mask")))
+
+
+def _bits(x: Column, size: Size) -> Column:
+    """(place, mask) of each bit of a member."""
+    return F.transform(probes(x, size.hashes, size.bits), lambda b: F.struct(F.floor(b / 64).cast("long").alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")).alias("mask")))
+
+
+def _set_filters(rows: DataFrame) -> DataFrame:
+    """(key, n, words) from (key, n, e) with an array e of (place, mask)."""
+    words = rows.select("key", "n", F.explode("e").alias("e")).groupBy("key", "n", F.col("e.place").alias("place")).agg(F.bit_or("e.mask").alias("mask"))
+    return _in_order(words, ["key", "n"], "place", "mask", "words")
+
+
+def _hybrid(exact: DataFrame, filters: DataFrame, *fields: str) -> DataFrame:
+    return _apart(exact).unionByName(_apart(filters), allowMissingColumns=True).select("key", F.struct(*fields).alias("value"))
+
+
 def hybrid_sets(log: DataFrame, features: int) -> DataFrame:
-    """(key, value struct of members, words, size): members while fewer than features / 10, then the words of a 1 % filter."""
+    """(key, value struct of n, members, words): members while fewer than features / 10, then the words of a 1 % filter."""
     size = Size.of(features, 0.01)
     items = log.select("key", F.explode("value").alias("x")).distinct()
-    n = items.groupBy("key").agg(F.count("*").alias("n"))
-    dense = (F.col("n") >= features / 10).alias("dense")
-    marked = items.join(n.select("key", "n", dense), "key")
-    exact = marked.filter("not dense").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("x")).alias("members"))
-    bits = marked.filter("dense").select("key", "n", F.explode(probes(F.col("x"), size.hashes, size.bits)).alias("bit"))
-    words = bits.groupBy("key", F.floor(F.col("bit") / 64).cast("long").alias("word")).agg(F.first("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    filters = words.groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("words"))
-    both = exact.unionByName(filters, allowMissingColumns=True)
-    return both.select("key", F.struct("n", "members", "words").alias("value"))
+    marked = items.join(items.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("dense", F.col("n") >= features / 10)
+    exact = marked.filter("not dense").groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("members"))
+    first = marked.filter("dense").groupBy("key", "n").agg(F.min("x").alias("x")).select("key", "n", _places(size.bits // 64).alias("e"))
+    return _hybrid(exact, _set_filters(_apart(marked.filter("dense").select("key", "n", _bits(F.col("x"), size).alias("e"))).unionByName(_apart(first))), "n", "members", "words")
+
+
+def merge_hybrid_sets(a: DataFrame, b: DataFrame, features: int) -> DataFrame:
+    """Two states of hybrid sets as one. A key that is a filter in either stays one; its n is then the sum, an upper bound."""
+    size = Size.of(features, 0.01)
+    # one row a key in each state, so what is gathered here is bounded
+    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(F.sum("value.n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("value.members")))).alias("members"), F.collect_list("value.words").alias("words"))
+    dense = (F.size("words") > 0) | (F.size("members") >= features / 10)
+    old = F.flatten(F.transform("words", lambda w: F.transform(w, lambda m, i: F.struct(i.cast("long").alias("place"), m.alias("mask")))))
+    n = F.when(F.size("words") > 0, F.col("n")).otherwise(F.size("members")).cast("long")
+    rows = both.filter(dense).select("key", n.alias("n"), F.concat(_places(size.bits // 64), old, F.flatten(F.transform("members", lambda x: _bits(x, size)))).alias("e"))
+    return _hybrid(both.filter(~dense).select("key", F.size("members").cast("long").alias("n"), "members"), _set_filters(rows), "n", "members", "words")
 
 
 def set_contains(value: Column, x: Column, features: int) -> Column:
     """Whether a hybrid set may hold ``x``; exact while it has members."""
     size = Size.of(features, 0.01)
-    words = F.map_from_entries(F.coalesce(value["words"], F.array().cast("array<struct<word:bigint,mask:bigint>>")))
 
     def is_set(bit: Column) -> Column:
-        mask = F.coalesce(F.try_element_at(words, F.floor(bit / 64).cast("long")), F.lit(0).cast("long"))
-        return F.call_function("getbit", mask, F.pmod(bit, F.lit(64)).cast("int")) == 1
+        return F.call_function("getbit", F.element_at(value["words"], (F.floor(bit / 64) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
 
     return F.when(value["members"].isNotNull(), F.array_contains(value["members"], x)).otherwise(F.forall(probes(x, size.hashes, size.bits), is_set))
 
 
+def _cell(k: Column, n: Column, size: Size) -> Column:
+    return F.transform(F.array_distinct(probes(k, size.hashes, size.bits)), lambda c: F.struct(c.cast("long").alias("place"), n.cast("long").alias("mask")))
+
+
+def _count_filters(rows: DataFrame, agg: Callable[[str], Column]) -> DataFrame:
+    """(key, total, cells) from (key, total, e) with an array e of (place, count)."""
+    cells = rows.select("key", "total", F.explode("e").alias("e")).groupBy("key", "total", F.col("e.place").alias("place")).agg(F.least(agg("e.mask"), F.lit(255)).cast("smallint").alias("n"))
+    return _in_order(cells, ["key", "total"], "place", "n", "cells")
+
+
 def hybrid_counts(log: DataFrame, most: int) -> DataFrame:
     """(key, value struct of total, counts, cells): exact counts while fewer than most / 10 keys, then a counting filter of 1 %."""
     size = Size.of(most, 0.01)
     items = log.select("key", F.explode("value").alias("e")).groupBy("key", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
-    n = items.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
-    marked = items.join(n, "key")
-    exact = marked.filter(F.col("kinds") < most / 10).groupBy("key").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
-    cells = marked.filter(F.col("kinds") >= most / 10).select("key", "total", "n", F.explode(F.array_distinct(probes(F.col("k"), size.hashes, size.bits))).alias("cell"))
-    cells = cells.groupBy("key", "cell").agg(F.first("total").alias("total"), F.least(F.sum("n"), F.lit(255)).cast("long").alias("n"))
-    filters = cells.groupBy("key").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-    return exact.unionByName(filters, allowMissingColumns=True).select("key", F.struct("total", "counts", "cells").alias("value"))
-
-
-def approximate_counts(counted: DataFrame, levels: int = 10) -> DataFrame:
-    """(key, n, approximate): counts quantised to the mean of their class, a class being an eighth-part power of two.
-
-    Classes take one byte where counts take eight; a key that was never counted has none."""
-    level = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.floor(F.log2("n") * levels) + 1).cast("long")
-    placed = counted.withColumn("level", level)
-    mean = placed.groupBy("level").agg(F.avg("n").alias("approximate"))
-    return placed.join(F.broadcast(mean), "level").select("key", "n", "level", "approximate")  # 64 * levels rows at most
+    marked = items.join(items.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")), "key").withColumn("dense", F.col("kinds") >= most / 10)
+    exact = marked.filter("not dense").groupBy("key", "total").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
+    first = marked.filter("dense").groupBy("key", "total").agg(F.min("k").alias("k")).select("key", "total", _places(size.bits).alias("e"))
+    rows = _apart(marked.filter("dense").select("key", "total", _cell(F.col("k"), F.col("n"), size).alias("e"))).unionByName(_apart(first))
+    return _hybrid(exact, _count_filters(rows, F.max), "total", "counts", "cells")
+
+
+def merge_hybrid_counts(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """Two states of hybrid counts as one. A key that is a filter in either stays one."""
+    size = Size.of(most, 0.01)
+    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(F.sum("value.total").alias("total"), F.flatten(F.collect_list("value.counts")).alias("counts"), F.collect_list("value.cells").alias("cells"))
+    dense = (F.size("cells") > 0) | (F.size(F.array_distinct(F.transform("counts", lambda c: c["k"]))) >= most / 10)
+    exact = both.filter(~dense).select("key", "total", F.explode("counts").alias("e")).groupBy("key", "total", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
+    exact = exact.groupBy("key", "total").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
+    old = F.flatten(F.transform("cells", lambda w: F.transform(w, lambda m, i: F.struct(i.cast("long").alias("place"), m.cast("long").alias("mask")))))
+    new = F.flatten(F.transform("counts", lambda c: _cell(c["k"], c["n"], size)))
+    rows = both.filter(dense).select("key", "total", F.concat(_places(size.bits), old, new).alias("e"))
+    return _hybrid(exact, _count_filters(rows, F.sum), "total", "counts", "cells")
+
+
+def counted(value: Column, k: Column, most: int) -> Column:
+    """The count of ``k`` in hybrid counts: exact while they are a list, else never too low below 255."""
+    size = Size.of(most, 0.01)
+    listed = F.coalesce(F.get(F.transform(F.filter(value["counts"], lambda c: c["k"] == k), lambda c: c["n"]), 0), F.lit(0)).cast("long")
+    cells = F.array_min(F.transform(probes(k, size.hashes, size.bits), lambda p: F.element_at(value["cells"], (p + 1).cast("int")))).cast("long")
+    return F.when(value["counts"].isNotNull(), listed).otherwise(cells)
+
+
+@dataclass(frozen=True)
+class CountsFilter:
+    """Approximate counts of keys: a counting filter of class numbers, a filter of keys counted once, and the mean count of each class."""
+
+    cells: DataFrame
+    singles: DataFrame
+    averages: DataFrame
+    size: Size
+    singles_size: Size
+
+
+def class_of(n: Column, levels: int = 10) -> Column:
+    """The class of a count of 2 or more, from 1; ``levels`` of them double it."""
+    return (F.floor(F.log2(n) * levels) - levels + 1).cast("long")
+
+
+def counts_filter(counted: DataFrame, size: Size, singles_size: Size, levels: int = 10) -> CountsFilter:
+    """From (key, n). A cell holds the largest class of its keys, of which there are 64 * levels at most."""
+    many = counted.filter("n > 1").withColumn("level", class_of(F.col("n"), levels))
+    cells = cells_of(many.select("key", F.col("level").alias("n")), size, 64 * levels)
+    averages = many.groupBy("level").agg(F.avg("n").alias("average"))
+    return CountsFilter(cells, bits_of(counted.filter("n = 1"), singles_size), averages, size, singles_size)
+
+
+def approximate_count(found: CountsFilter, keys: DataFrame) -> DataFrame:
+    """(key, level, approximate) of the distinct requested keys, from the filters alone: the mean of a key's class; 1 if only the
+    filter of single keys has it; 0 if neither has."""
+    asked = max_count(found.cells, keys, found.size).withColumnRenamed("n", "level")
+    asked = asked.join(might_contain(found.singles, keys, found.singles_size), "key")
+    asked = asked.join(F.broadcast(found.averages), "level", "left")  # one row a class
+    return asked.select("key", "level", F.coalesce("average", F.when(F.col("present"), 1.0).otherwise(0.0)).alias("approximate"))

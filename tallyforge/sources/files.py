@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import bigrams
+from ..functions.text import bigrams, tokens
 
 
 def byte_files(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +19,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_object(row: DataFrame, path: str) -> None:
-    """One object as one JSON file."""
-    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """One object as one JSON file; a table of more rows, or of none, is refused."""
+    if row.limit(2).count() != 1:
+        raise ValueError("an object is one row")
+    row.coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_object(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -41,6 +43,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
+def bigram_keys(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key) a 64-bit hash for each pair of adjacent tokens, hashed in place: no string is made of a pair."""
+    t = tokens(F.col(text_col))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    return spread(texts.select(text_col)).select(F.explode(pairs).alias("key"))
+
+
 def bigram_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(key) a row for each pair of adjacent tokens."""
     return spread(texts.select(text_col)).select(F.explode(bigrams(F.col(text_col))).alias("key"))
