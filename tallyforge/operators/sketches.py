@@ -127,9 +127,14 @@ def _in_order(rows: DataFrame, by: list[str], place: str, value: str, name: str)
     return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias(name))
 
 
-def _places(n: int) -> Column:
-    """(place, mask) of ``n`` empty words or cells, so that none is missing from an array of them."""
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.struct(i.alias("place"), F.lit(0).cast("long").alias("mask")))
+def _last(n: int) -> Column:
+    """The last of ``n`` places, as an aggregate: a plain literal would be folded into an array of ``n`` literals in the plan."""
+    return F.max(F.lit(n - 1).cast("long")).alias("last")
+
+
+def _places() -> Column:
+    """(place, mask) of empty words or cells up to the column ``last``, so that none is missing from an array of them."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.struct(i.alias("place"), F.lit(0).cast("long").alias("mask")))
 
 
 def _bits(x: Column, size: Size) -> Column:
@@ -153,7 +158,7 @@ def hybrid_sets(log: DataFrame, features: int) -> DataFrame:
     items = log.select("key", F.explode("value").alias("x")).distinct()
     marked = items.join(items.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("dense", F.col("n") >= features / 10)
     exact = marked.filter("not dense").groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("members"))
-    first = marked.filter("dense").groupBy("key", "n").agg(F.min("x").alias("x")).select("key", "n", _places(size.bits // 64).alias("e"))
+    first = marked.filter("dense").groupBy("key", "n").agg(_last(size.bits // 64)).select("key", "n", _places().alias("e"))
     return _hybrid(exact, _set_filters(_apart(marked.filter("dense").select("key", "n", _bits(F.col("x"), size).alias("e"))).unionByName(_apart(first))), "n", "members", "words")
 
 
@@ -161,11 +166,11 @@ def merge_hybrid_sets(a: DataFrame, b: DataFrame, features: int) -> DataFrame:
     """Two states of hybrid sets as one. A key that is a filter in either stays one; its n is then the sum, an upper bound."""
     size = Size.of(features, 0.01)
     # one row a key in each state, so what is gathered here is bounded
-    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(F.sum("value.n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("value.members")))).alias("members"), F.collect_list("value.words").alias("words"))
+    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(_last(size.bits // 64), F.sum("value.n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("value.members")))).alias("members"), F.collect_list("value.words").alias("words"))
     dense = (F.size("words") > 0) | (F.size("members") >= features / 10)
     old = F.flatten(F.transform("words", lambda w: F.transform(w, lambda m, i: F.struct(i.cast("long").alias("place"), m.alias("mask")))))
     n = F.when(F.size("words") > 0, F.col("n")).otherwise(F.size("members")).cast("long")
-    rows = both.filter(dense).select("key", n.alias("n"), F.concat(_places(size.bits // 64), old, F.flatten(F.transform("members", lambda x: _bits(x, size)))).alias("e"))
+    rows = both.filter(dense).select("key", n.alias("n"), F.concat(_places(), old, F.flatten(F.transform("members", lambda x: _bits(x, size)))).alias("e"))
     return _hybrid(both.filter(~dense).select("key", F.size("members").cast("long").alias("n"), "members"), _set_filters(rows), "n", "members", "words")
 
 
@@ -195,7 +200,7 @@ def hybrid_counts(log: DataFrame, most: int) -> DataFrame:
     items = log.select("key", F.explode("value").alias("e")).groupBy("key", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
     marked = items.join(items.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")), "key").withColumn("dense", F.col("kinds") >= most / 10)
     exact = marked.filter("not dense").groupBy("key", "total").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
-    first = marked.filter("dense").groupBy("key", "total").agg(F.min("k").alias("k")).select("key", "total", _places(size.bits).alias("e"))
+    first = marked.filter("dense").groupBy("key", "total").agg(_last(size.bits)).select("key", "total", _places().alias("e"))
     rows = _apart(marked.filter("dense").select("key", "total", _cell(F.col("k"), F.col("n"), size).alias("e"))).unionByName(_apart(first))
     return _hybrid(exact, _count_filters(rows, F.max), "total", "counts", "cells")
 
@@ -203,13 +208,13 @@ def hybrid_counts(log: DataFrame, most: int) -> DataFrame:
 def merge_hybrid_counts(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     """Two states of hybrid counts as one. A key that is a filter in either stays one."""
     size = Size.of(most, 0.01)
-    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(F.sum("value.total").alias("total"), F.flatten(F.collect_list("value.counts")).alias("counts"), F.collect_list("value.cells").alias("cells"))
+    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(_last(size.bits), F.sum("value.total").alias("total"), F.flatten(F.collect_list("value.counts")).alias("counts"), F.collect_list("value.cells").alias("cells"))
     dense = (F.size("cells") > 0) | (F.size(F.array_distinct(F.transform("counts", lambda c: c["k"]))) >= most / 10)
     exact = both.filter(~dense).select("key", "total", F.explode("counts").alias("e")).groupBy("key", "total", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
     exact = exact.groupBy("key", "total").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
     old = F.flatten(F.transform("cells", lambda w: F.transform(w, lambda m, i: F.struct(i.cast("long").alias("place"), m.cast("long").alias("mask")))))
     new = F.flatten(F.transform("counts", lambda c: _cell(c["k"], c["n"], size)))
-    rows = both.filter(dense).select("key", "total", F.concat(_places(size.bits), old, new).alias("e"))
+    rows = both.filter(dense).select("key", "total", F.concat(_places(), old, new).alias("e"))
     return _hybrid(exact, _count_filters(rows, F.sum), "total", "counts", "cells")
 
 
