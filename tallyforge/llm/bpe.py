@@ -9,7 +9,9 @@ many bytes beyond a token boundary are known, the boundary is final and the toke
 each token to be made before it is merged further; a list for which that fails has no bound, and words are then kept
 whole.
 
-The encoder therefore holds a word's tail of fixed size, at most a piece of text, and a bounded cache of words.
+Every text goes in by pieces of FEED characters, and each token leaves under one rule: its right boundary is final, as
+the word's end is known or the lookahead beyond it. The encoder therefore holds the tail of the open word, at most a
+piece of text, and a bounded cache of words whose end is known.
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ from pyspark.sql import types as T
 
 from .common import pieces, utf8
 
-FEED = 1 << 16
+FEED = 1 << 14
 CACHE = 150_000
 NEVER = 1 << 60
-#: As long as the longest special token but one character: a tail of that length may be the start of one.
 CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 EASY = re.compile("[\x00-ɏ]*")
@@ -49,6 +50,7 @@ _low = {"L": _low_class("L"), "N": _low_class("N"), "S": "\\t-\\r \\x85\\xa0"}
 _any = {"L": "\\p{L}", "N": "\\p{N}", "S": SPACES}
 SPLIT_EASY = re.compile(CLASSES.replace("{L}", _low["L"]).replace("{N}", _low["N"]).replace("{S}", _low["S"]))
 SPLIT_ANY = regex.compile(CLASSES.replace("{L}", _any["L"]).replace("{N}", _any["N"]).replace("{S}", _any["S"]))
+SPLIT_LETTER = regex.compile(r"\p{L}")
 RUN = {"letters": regex.compile(r"\p{L}*"), "others": regex.compile(rf"[^{SPACES}\p{{L}}\p{{N}}]*")}
 
 
@@ -60,12 +62,32 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+#: What this encoder does besides the merges, as tokenizer files say it; a file that asks for anything else is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": CLASSES.format(L=r"\p{L}", N=r"\p{N}", S=r"\s")}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def refuse_others(spec: dict) -> None:
+    """An error unless the file asks for just what this encoder does."""
+    model = spec.get("model") or {}
+    unlike = [k for k, want in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER)) if spec.get(k) != want]
+    unlike += [f"model.{k}" for k, want in MODEL.items() if model.get(k, want) != want]
+    unlike += [f"added token {t.get('content')}" for t in spec.get("added_tokens", []) if any(t.get(k, v) != v for k, v in ADDED.items())]
+    if (spec.get("decoder") or {}).get("type") not in (None, "ByteLevel"):
+        unlike.append("decoder")
+    if unlike:
+        raise ValueError(f"not supported in this tokenizer file: {', '.join(unlike)}")
+
+
 class Vocabulary:
     """A tokenizer file of kind BPE with its merge list, and what follows from it."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_others(spec)
         model = spec["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])
@@ -147,29 +169,37 @@ def normalise(text: str) -> str:
 
 
 class Words(dict):
-    """The ids of words, at most CACHE of them, found when first asked for."""
+    """The ids of whole words, found when first asked for. At most twice CACHE of them: those not asked for while CACHE
+    others were are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.v = vocabulary
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(map(self.v.ids.__getitem__, self.v.word(word)))
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = found
+        found = self.older.get(word)
+        if found is None:
+            found = tuple(map(self.v.ids.__getitem__, self.v.word(word)))
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
 
 class Encoder:
-    """Text goes in by pieces of any size; ids come out as soon as they are final."""
+    """Text goes in by pieces of any size; ids come out as soon as they are final.
+
+    ``fed`` and ``finished`` count the ids that came out of feed and of finish.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.words = Words(vocabulary)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.longest = max(map(len, vocabulary.special), default=1)
+        self.fed = self.finished = 0
         self.reset()
 
     def reset(self) -> None:
@@ -178,26 +208,32 @@ class Encoder:
         self.run: str | None = None  # the class of the word whose start has left already
         self.most_held = 0
 
-    def feed(self, text: str) -> Iterator[tuple[int, ...]]:
+    def feed(self, text: str) -> list[int]:
         self.raw += text
-        keep = self.longest - 1
-        while self.specials and (m := self.specials.search(self.raw)):
-            yield from self._words(self.raw[: m.start()], True)
-            yield (self.v.special[m[0]],)
-            self.raw = self.raw[m.end() :]
-        at = self._safe(len(self.raw) - keep)
+        out = self._specials()
+        # the end may be the start of a special token, or combine with what follows
+        at = self._safe(len(self.raw) - self.longest + 1)
         if at > 0:
             part, self.raw = self.raw[:at], self.raw[at:]
-            yield from self._words(part, False)
+            out += self._words(part, False)
         self.most_held = max(self.most_held, len(self.raw) + len(self.text))
+        self.fed += len(out)
+        return out
+
+    def finish(self) -> list[int]:
+        out = self._specials()
+        part, self.raw = self.raw, ""
+        out += self._words(part, True)
+        self.finished += len(out)
+        return out
 
-    def finish(self) -> Iterator[tuple[int, ...]]:
+    def _specials(self) -> list[int]:
+        out: list[int] = []
         while self.specials and (m := self.specials.search(self.raw)):
-            yield from self._words(self.raw[: m.start()], True)
-            yield (self.v.special[m[0]],)
+            out += self._words(self.raw[: m.start()], True)
+            out.append(self.v.special[m[0]])
             self.raw = self.raw[m.end() :]
-        part, self.raw = self.raw, ""
-        yield from self._words(part, True)
+        return out
 
     def _safe(self, at: int) -> int:
         """The last place up to ``at`` before a character that never combines with what stands before it."""
@@ -208,76 +244,60 @@ class Encoder:
             at -= 1
         return 0
 
-    def _words(self, part: str, last: bool) -> Iterator[tuple[int, ...]]:
-        """Words that can't grow any more; with ``last`` all that is left."""
+    def _words(self, part: str, last: bool) -> list[int]:
+        """The ids of words that can't grow any more, and of the open word's final tokens; with ``last`` all that is left."""
         text = self.text = self.text + normalise(part)
         at = 0
+        out: list[int] = []
         if self.run:
             end = RUN[self.run].match(text).end()
-            if end < len(text) or last:
-                yield from map(self._id, self.v.word(text[:end]))
-                self.run, at = None, end
-            else:
-                yield from self._stable()
-                return
+            if end == len(text) and not last:
+                return self._stable()
+            out += map(self.v.ids.__getitem__, self.v.word(text[:end]))
+            self.run, at = None, end
         split = SPLIT_EASY if EASY.fullmatch(text) else SPLIT_ANY
+        known = len(text) if last else max(at, text.rfind(" ", at, -3))  # no word holds a space
+        out += chain.from_iterable(map(self.words.__getitem__, split.findall(text, at, known)))
+        self.text, self.run = text[known:], None
         if last:
-            yield from map(self.words.__getitem__, split.findall(text, at))
-            self.text = ""
-            return
-        held = None
-        for m in split.finditer(text, at):
+            return out
+        for m in split.finditer(self.text):
             # a word at the end may grow, and an apostrophe needs two more characters
-            if m.end() > len(text) - 3:
-                held = m
-                break
-            yield self.words[m[0]]
-            at = m.end()
-        if held is None:
-            self.text = text[max(at, len(text) - 3) :]
-            return
-        self.text = text[held.start() :]
-        first = self.text[0]
-        if len(self.text) > FEED // 4 and held.end() == len(text) and self.v.lookahead is not None:
-            self.run = "letters" if unicodedata.category(first)[0] == "L" else "others"
-            yield from self._stable()
-
-    def _id(self, token: str) -> tuple[int, ...]:
-        return (self.v.ids[token],)
-
-    def _stable(self) -> Iterator[tuple[int, ...]]:
-        """The tokens of the open word that no further text can change."""
-        if self.v.lookahead is None:
-            return
-        tokens = self.v.merge([self.v.symbols[b] for b in self.text.encode("utf-8", "surrogatepass")])
-        total, left, gone, cut = sum(map(len, tokens)), 0, 0, 0
-        # the last symbol may turn into one that ends a word
-        limit = total - self.v.lookahead - 1
-        # cut where a character ends as well
-        ends = set()
-        n = 0
-        for c in self.text:
-            n += len(c.encode("utf-8", "surrogatepass"))
-            ends.add(n)
+            if m.end() > len(self.text) - 3:
+                held = self.text[m.start() :]
+                if m.end() == len(self.text) and self.v.lookahead is not None:
+                    self.run = "letters" if SPLIT_LETTER.match(held) else "others" if RUN["others"].fullmatch(held) and (held[0] != "'" or len(held) > 2) else None
+                self.text = held
+                return out + self._stable() if self.run else out
+            out += self.words[m[0]]
+        self.text = self.text[-3:]
+        return out
+
+    def _stable(self) -> list[int]:
+        """The ids of the open word's tokens that no further text can change. Its last symbol may yet turn into one that ends a word."""
+        data = self.text.encode("utf-8", "surrogatepass")
+        limit = len(data) - self.v.lookahead - 1
+        if limit <= 0:
+            if len(data) < self.v.lookahead:
+                self.run = None  # none of it has left, so it is cut anew with what follows
+            return []
+        tokens = self.v.merge([self.v.symbols[b] for b in data])
+        left = gone = cut = 0
         for i, t in enumerate(tokens):
             left += len(t)
             if left > limit:
                 break
-            if left in ends:
+            if data[left] & 0xC0 != 0x80:  # a character ends here as well
                 cut, gone = i + 1, left
-        for t in tokens[:cut]:
-            yield (self.v.ids[t],)
-        self.text = self.text.encode("utf-8", "surrogatepass")[gone:].decode("utf-8", "surrogatepass")
+        self.text = data[gone:].decode("utf-8", "surrogatepass")
+        return list(map(self.v.ids.__getitem__, tokens[:cut]))
 
     def encode(self, text: str) -> list[int]:
         self.reset()
         out: list[int] = []
         for a in range(0, len(text), FEED):
-            for ids in self.feed(text[a : a + FEED]):
-                out += ids
-        for ids in self.finish():
-            out += ids
-        return out
+            out += self.feed(text[a : a + FEED])
+        return out + self.finish()
 
 
 class Decoder:
@@ -327,19 +347,15 @@ def digest(text: str, path: str) -> tuple[int, str, str]:
     encoder.reset()
     n = 0
 
-    def take(parts: Iterable[tuple[int, ...]]) -> None:
+    def take(ids: list[int]) -> None:
         nonlocal n
-        ids = list(chain.from_iterable(parts))
         if ids:
             of_ids.update(((" " if n else "") + " ".join(map(v.decimals.__getitem__, ids))).encode())
             of_text.update(decoder.feed(ids).encode("utf-8", "surrogatepass"))
             n += len(ids)
 
     for a in range(0, len(text), FEED):
-        if len(text) > FEED:
-            take(encoder.feed(text[a : a + FEED]))
-        else:
-            encoder.raw = text
+        take(encoder.feed(text[a : a + FEED]))
     take(encoder.finish())
     of_text.update(decoder.finish().encode())
     return n, of_ids.hexdigest(), of_text.hexdigest()

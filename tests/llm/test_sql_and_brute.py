@@ -1,6 +1,7 @@
 """The ten operators against SQL, brute force, the reference library, and awkward rows."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -484,20 +485,39 @@ def test_bpe_streams(library, monkeypatch):
         encoder.reset()
         while at < len(text):
             to = at + rng.randint(1, 9)
-            for ids in encoder.feed(text[at:to]):
-                out += ids
+            out += encoder.feed(text[at:to])
             at = to
-        for ids in encoder.finish():
-            out += ids
+        out += encoder.finish()
         assert out == library.encode(text, add_special_tokens=False).ids
     assert encoder.most_held < 2 * encoder.v.lookahead
 
 
 def test_bpe_constant_memory(library):
     encoder = bpe.Encoder(bpe.Vocabulary(word_bpe()))
-    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(400_000))
-    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
-    assert encoder.most_held < bpe.FEED
+    for text in ("".join(random.Random(1).choice("abcdefgh") for _ in range(400_000)), "'" * 100_000, "日本" * 50_000, "!?" * 50_000):
+        assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert encoder.most_held < 2 * bpe.FEED
+
+
+def test_bpe_feeds_every_text(spark, library):
+    """Of all documents, whatever their length, tokens leave as soon as they are final: what is left to the end is a word's tail."""
+    encoder, total = bpe.Encoder(bpe.Vocabulary(word_bpe())), 0
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        before = encoder.finished
+        ids = encoder.encode(text)
+        total += len(ids)
+        assert ids == library.encode(text, add_special_tokens=False).ids and encoder.finished - before <= encoder.v.lookahead + 32
+    assert encoder.fed + encoder.finished == total and encoder.fed > 0.95 * total
+
+
+def test_bpe_refuses_other_files(tmp_path):
+    with open(word_bpe(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in (("normalizer", {"type": "NFKC"}), ("pre_tokenizer", None), ("added_tokens", [{"id": 1, "content": "<x>", "lstrip": True}]), ("decoder", {"type": "WordPiece"}), ("model", {**spec["model"], "byte_fallback": True})):
+        with open(tmp_path / "t.json", "w") as f:
+            json.dump({**spec, key: value}, f)
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Vocabulary(str(tmp_path / "t.json"))
 
 
 def test_bpe_decodes(spark, library):
