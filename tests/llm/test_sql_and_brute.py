@@ -641,13 +641,51 @@ def test_main_text(spark):
     article = lambda i: f"<body><article><p>Piece {i}.</p><p>Shared passage.</p></article><div>Made by us</div>"
     rows = [(i, f"http://a.example/{i}", site(i)) for i in range(12)] + [(100 + i, f"https://b.example/{i}", article(i)) for i in range(12)] + [(200, None, None), (201, "x", ""), (202, "http://c.example/", site(1)), (0, "http://a.example/0", site(0)), (None, "http://d.example", "&lt;é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("gone", F.lit(1)).repartition(4)
-    got = sorted(map(tuple, html_text.main_text(df).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in html_text.main_text(df).collect()), key=str)
     want = [(i, f"http://a.example/{i}", f"Story {i} is told here.\n\nA line that all share.") for i in [*range(12), 0]] + [(100 + i, f"https://b.example/{i}", f"Piece {i}.\n\nShared passage.") for i in range(12)]
     want += [(200, None, ""), (201, "x", ""), (202, "http://c.example/", "Welcome to our site\n\nAll topics\n\nStory 1 is told here.\n\nA line that all share.\n\nMade by us"), (None, "http://d.example", "<é")]
     assert got == sorted([(*w, len(w[2])) for w in want], key=str)
     assert html_text.main_text(df.filter("false")).count() == 0
 
 
+def test_marks():
+    """A wrapper that only mentions a sidebar or comments holds the article; headers of an entry are part of it; an empty article is not the page."""
+    story = "<article><div class='entry-header'>A title</div><p>The story, told at some length.</p></article>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "post has-comments", "site-content", "widget-page", "sidebar", "comments"):
+        assert [b for _, b in html_text.Page(f"<body><div class='{name}'>{story}</div><div class='sidebar-left'>Links</div>").wanted()] == ["A title", "The story, told at some length."]
+    for name in ("sidebar", "post-comments", "cookie-notice", "main-nav", "site-footer", "ad", "related-posts", "comments-2"):
+        assert [b for _, b in html_text.Page(f"<body>{story}<div class='{name}'>Not this</div>").wanted()] == ["A title", "The story, told at some length."]
+    bulk = "<body><div id=sidebar><p>All of the text of this page stands here.</p></div><p>End</p>"
+    assert len(html_text.Page(bulk).wanted()) == 2
+    assert [b for _, b in html_text.Page("<body><article></article><article>Card</article><div><p>The body of the page is elsewhere.</p></div>").wanted()] == ["Card", "The body of the page is elsewhere."]
+
+
+def host_of(url):
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
+    return m[1].lower() if m else ""
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_main_text_against_counters_of_each_host(spark, sf):
+    """Template removal by a dictionary for each host, on all pages."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    pages = [(r["page_id"], host_of(r["url"]), html_text.Page(r["html"] or "")) for r in df.collect()]
+    size, seen = Counter(h for _, h, _ in pages), defaultdict(set)
+    for _, h, page in pages:
+        for subtree, _, _ in page.subtrees:
+            seen[h, subtree].add(page.digest)
+    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
+    removed = 0
+    for i, h, page in pages:
+        gone = {j for s, a, b in page.subtrees for j in range(a, b) if len(seen[h, s]) >= max(5, math.floor(2 * math.log2(size[h])))}
+        removed += bool(gone)
+        text = "\n\n".join(b for _, b in page.wanted(gone))
+        assert (got[i]["text"], got[i]["n_chars"], got[i]["n_removed"]) == (text, len(text), len(gone))
+        # what is left is the article, whichever way the rest went
+        assert text == "\n\n".join(b for b, k, w in zip(page.blocks, page.kept, page.within) if k and w)
+    assert removed > 0.5 * len(pages)
+
+
 # --- pipeline
 
 
