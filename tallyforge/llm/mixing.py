@@ -7,10 +7,12 @@ row's id, so it doesn't depend on partitions or order, and a rerun draws the sam
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import cut, unused, uniform
 
 #: A larger mean is drawn as a sum of Poisson numbers of this mean at most, so that exp(-mean) stays a normal double.
 PIECE_MEAN = 256
@@ -19,20 +21,28 @@ MOST_BROADCAST = 20_000
 SALTS = 32
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, total: float | None) -> DataFrame:
-    """(source, rate): weight / sum of weights * total / rows of that source; equal weights if none are given."""
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("rows"))
+#: Bytes of text that a task of the global shuffle gets.
+TASK_BYTES = 128 << 20
+
+
+def sizes(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
+    """(source, rows, bytes), kept: all that is known of the table comes from this one scan."""
+    return cut(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("rows"), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64).alias("bytes")))
+
+
+def rates(found: DataFrame, weights: dict[str, float] | None, total: float | None) -> DataFrame:
+    """(source, rate, bytes): weight / sum of weights * total / rows of that source; equal weights if none are given. bytes are those expected."""
     if weights is None:
-        sizes = sizes.withColumn("weight", F.lit(1.0))
+        found = found.withColumn("weight", F.lit(1.0))
     elif weights:
         named = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-        sizes = sizes.withColumn("weight", F.coalesce(named[F.col("source")], F.lit(0.0)))
+        found = found.withColumn("weight", F.coalesce(named[F.col("source")], F.lit(0.0)))
     else:
-        sizes = sizes.withColumn("weight", F.lit(0.0))
-    weighed, rows = sizes.agg(F.sum("weight"), F.sum("rows")).first()
+        found = found.withColumn("weight", F.lit(0.0))
+    weighed, rows = found.agg(F.sum("weight"), F.sum("rows")).first()
     target = float(total if total is not None else rows or 0)
     rate = F.col("weight") / F.lit(weighed) * F.lit(target) / F.col("rows") if weighed else F.lit(0.0)
-    return sizes.select("source", rate.alias("rate"))
+    return found.select("source", rate.alias("rate"), (rate * F.col("bytes")).alias("bytes"))
 
 
 def with_distribution(rate: DataFrame) -> DataFrame:
@@ -49,7 +59,7 @@ def with_distribution(rate: DataFrame) -> DataFrame:
 def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, total: float | None = None, seed: str = "0", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns of ``docs``, with copy (from 1), n_copies, rate and shuffle_key; a row for each copy.
 
-    The rows are dealt to the shuffle partitions by a hash of shuffle_key, itself an md5 of seed, id and copy, and
+    The rows are dealt to the shuffle partitions, more of them if a task would get over TASK_BYTES, by a hash of shuffle_key, itself an md5 of seed, id and copy, and
     sorted by it within each, so that neighbours are unrelated. ``weights`` maps source to weight: sources that it
     doesn't name get none; None weighs all sources alike, a null source being one of them. ``total`` is the expected
     number of rows, as many as come in by default. A row with a null id draws by an md5 of its text; repeated rows of one id
@@ -58,16 +68,19 @@ def poisson_mix(docs: DataFrame, *, weights: dict[str, float] | None = None, tot
     spark = docs.sparkSession
     added = ("copy", "n_copies", "rate", "shuffle_key")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    table = with_distribution(rates(docs, weights, source_col, total)).select(F.col("source").alias("__source"), "rate", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    if docs.select(source_col).distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        joined = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table["__source"]))
+    source, parts, cdf, salt, salt2 = (unused(docs, n) for n in ("source", "parts", "cdf", "salt", "salt2"))
+    found = rates(sizes(docs, source_col, text_col), weights, total)
+    n, expected = found.agg(F.count("*"), F.sum("bytes")).first()
+    table = with_distribution(found).select(F.col("source").alias(source), "rate", F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    if n <= MOST_BROADCAST:
+        joined = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table[source]))
     else:
-        salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int")
-        table = table.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        docs = docs.withColumn("__salt", salt)
-        joined = docs.join(table, docs[source_col].eqNullSafe(table["__source"]) & (F.col("__salt") == F.col("__salt2"))).drop("__salt", "__salt2")
+        table = table.withColumn(salt2, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn(salt, F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
+        joined = docs.join(table, docs[source_col].eqNullSafe(table[source]) & (F.col(salt) == F.col(salt2))).drop(salt, salt2)
     who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    draw = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), who, i))))
+    draw = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, i: n + F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), who, i))))
     out = joined.withColumn("n_copies", draw).filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), who, F.col("copy").cast("string")).cast("binary"))).drop("__source", "__parts", "__cdf")
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shuffle_key").sortWithinPartitions("shuffle_key")
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), who, F.col("copy").cast("string")).cast("binary"))).drop(source, parts, cdf)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((expected or 0) / TASK_BYTES))
+    return out.repartition(width, "shuffle_key").sortWithinPartitions("shuffle_key")
