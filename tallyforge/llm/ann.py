@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, grouped
+from .common import cut, grouped, ship
 
 POINTS, QUERIES = 4096, 512
 NEIGHBOURS = 10
@@ -239,6 +239,7 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     there are 32 parts, more for tables of millions of rows (see parts_for), and 256 rows of the sample for each. Rows of a
     part and its queries meet in blocks of about 4096 by 512, however many there are.
     """
+    ship(table.sparkSession)
     spark = table.sparkSession
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, utf8
+from .common import pieces, ship, utf8
 
 FEED = 1 << 14
 CACHE = 150_000
@@ -404,11 +404,13 @@ def _picked(df: DataFrame, id_col: str, col: str, name: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): token ids of each row's whole text. Null counts as empty and gives no ids; rows are kept as they are."""
+    ship(docs.sparkSession)
     return _picked(docs, id_col, text_col, "text").mapInArrow(_encode(path), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def encode_with(docs: DataFrame, path: str, keep: list[str], *, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, n_tokens and ids of each row; nothing is joined."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,6 +428,7 @@ def encode_with(docs: DataFrame, path: str, keep: list[str], *, text_col: str =
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", as_bytes: bool | None = None) -> DataFrame:
     """(id, text) from (id, ids); null ids give a null text. An id that the vocabulary lacks is an error."""
+    ship(encoded.sparkSession)
     ids = _picked(encoded, id_col, ids_col, "ids")
     return ids.mapInArrow(_decode(path, as_bytes), "id long, text string").withColumnRenamed("id", id_col)
 
@@ -435,4 +438,5 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have no tokens and the digests of nothing. Null and repeated ids are kept.
     """
+    ship(docs.sparkSession)
     return _picked(docs, id_col, text_col, "text").mapInArrow(_digests(path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

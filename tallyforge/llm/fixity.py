@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, ship
 
 FAN_BITS = 4
 #: A file holds 2**FILE_BITS ids.
@@ -68,6 +68,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A file that breaks off gives its whole records and one row with an error and no record. A file is read by one
     task, as its records can't be found from its middle.
     """
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("record_offset", pa.int64()), ("record", pa.binary()), ("error", pa.string())])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, utf8
+from .common import cut, pieces, ship, utf8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas audio video noframes".split())
@@ -318,6 +318,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     A null html counts as empty, a null url as a host of its own. A page without an article or main element gives all its
     body but for what recurs or is marked. Repeated rows are kept. Columns beyond the three named are ignored.
     """
+    ship(pages.sparkSession)
     url = F.col(url_col)
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), host.alias("host"))

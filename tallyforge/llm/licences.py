@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, utf8
+from .common import mix, pieces, ship, utf8
 from .words import word_hashes, shingles
 
 WORDS, SHARE, MISS = 5, 0.8, 1e-7
@@ -176,6 +176,7 @@ def scan(docs: DataFrame, *, templates: dict[str, tuple[str, ...]] | None = None
     A licence matches where a window holds at least 0.8 of the distinct shingles of one of its templates, or of 65 in a row
     of a long one. Null and empty texts match nothing; null and repeated ids are kept.
     """
+    ship(docs.sparkSession)
     wanted = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import pieces, ship, utf8
 
 TILE = 256
 #: Payload bytes of one unit: 24 rows of 24 samples.
@@ -119,32 +119,41 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def grey(samples: np.ndarray) -> np.ndarray:
-    """Luma as (299 r + 587 g + 114 b) / 1000."""
-    return samples @ np.array([299, 587, 114]) / 1000 if samples.ndim == 3 else samples
+    """A thousand times the luma, 299 r + 587 g + 114 b, of colour; grey samples as they are."""
+    return samples.astype(np.int64) @ np.array([299, 587, 114]) if samples.ndim == 3 else samples
 
 
-def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The mean of each of height x width equal boxes. The integral image of samples that are constant within their
-    squares is linear between the corners in either direction, so boxes with broken edges are exact too."""
+def box_sums(samples: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The sums over each of height x width equal boxes, times height * width; exact for whole samples.
+
+    The integral image of samples that are constant within their squares is linear between the corners in either
+    direction, so boxes with broken edges are exact too.
+    """
     rows, columns = samples.shape
-    integral = np.zeros((rows + 1, columns + 1))
-    np.cumsum(np.cumsum(samples, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
+    kind = np.int64 if np.issubdtype(samples.dtype, np.integer) else np.float64
+    integral = np.zeros((rows + 1, columns + 1), kind)
+    np.cumsum(np.cumsum(samples, axis=0, dtype=kind), axis=1, out=integral[1:, 1:])
 
     def at(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        place = np.arange(parts + 1) * n / parts
-        low = np.minimum(place.astype(np.int64), n - 1)
-        return low, place - low
+        place = np.arange(parts + 1) * n
+        low = np.minimum(place // parts, n - 1)
+        return low, place - parts * low
 
     r, f = at(rows, height)
-    lines = integral[r] * (1 - f)[:, None] + integral[r + 1] * f[:, None]
+    lines = integral[r] * (height - f)[:, None] + integral[r + 1] * f[:, None]
     c, f = at(columns, width)
-    corners = lines[:, c] * (1 - f) + lines[:, c + 1] * f
-    return np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (rows * columns))
+    corners = lines[:, c] * (width - f) + lines[:, c + 1] * f
+    return np.diff(np.diff(corners, axis=0), axis=1)
+
+
+def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The mean of each of height x width equal boxes."""
+    return box_sums(samples, height, width) / (samples.shape[0] * samples.shape[1])
 
 
 def difference_hash(samples: np.ndarray) -> str:
     """64 bits in hexadecimal: in 8 rows of 9 boxes, whether each is darker than the one to its right."""
-    small = np.round(area_resize(grey(samples), 8, 9), 6)
+    small = box_sums(grey(samples), 8, 9)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -170,6 +179,7 @@ def media_tiles(images: DataFrame, *, id_col: str = "image_id", data_col: str =
 
     What can't be decoded, null and empty data included, gives one row with an error and null elsewhere.
     """
+    ship(images.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("tile_row", pa.int32()), ("tile_col", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string()), ("error", pa.string())])
@@ -210,6 +220,7 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     tiles_sha256), a row for each row. Null counts as empty, which is one unit of padding. feature is the difference
     hash of what was read back.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, grouped, mix, pieces, utf8
+from .common import GOLDEN, cut, grouped, mix, pieces, ship, utf8
 from .words import shingle_sets
 
 FRACTION_BITS = 40
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     its own text. Further columns are ignored. With ``mark``, a string column that tells rows apart, the result has it too,
     and ``group``: one number for all rows linked, whatever their ids, null for an empty set.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marked = source if mark is None else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))

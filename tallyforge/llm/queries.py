@@ -22,7 +22,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.link_conversations(table(spark, sf_dir, "conversations"))
+    return quotations.link_conversations(quotations.drill(table(spark, sf_dir, "conversations")))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

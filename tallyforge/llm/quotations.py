@@ -14,7 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, unused
+
+def drill(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """``messages`` with planted quotes: by the first hexadecimal digit of an md5 of conversation and turn, half of the messages begin
+    with the first line of the turn before, quoted, and half of those with that of the turn before it too, quoted twice. Rows without conversation or turn stay as they are; of
+    several messages of one turn the least line is quoted, and a blank line isn't."""
+    line = F.trim(F.substring_index(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), "\n", 1))
+    conv, turn = F.col(conv_col).cast("long"), F.col(turn_col).cast("long")
+    c, t, own, one, two = (unused(messages, n) for n in ("c", "t", "line", "line1", "line2"))
+    first = messages.select(conv.alias(c), turn.alias(t), line.alias(own)).filter(F.col(c).isNotNull() & F.col(t).isNotNull() & (F.col(own) != "")).groupBy(c, t).agg(F.min(own).alias(own))
+    rows = messages.withColumn(c, conv).withColumn(t, turn)
+    for back, name in ((1, one), (2, two)):
+        rows = rows.join(first.select(c, (F.col(t) + back).alias(t), F.col(own).alias(name)), [c, t], "left")
+    digit = F.substring(F.md5(F.concat_ws("|", F.col(c).cast("string"), F.col(t).cast("string")).cast("binary")), 1, 1)
+    quotes = F.concat(F.when(F.col(two).isNotNull() & (digit < "4"), F.concat(F.lit(">> "), two, F.lit("\n"))).otherwise(""), F.when(F.col(one).isNotNull() & (digit < "8"), F.concat(F.lit("> "), one, F.lit("\n"))).otherwise(""))
+    rows = rows.withColumn(text_col, F.when(quotes == "", F.col(text_col)).otherwise(F.concat(quotes, F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
+    return rows.select(*messages.columns)
+
 
 MARK = r"^\s*(?:>\s?)+"
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import ann, bpe, fixity, html_text, language_id, licences, media, mixing, near_dedup, quotations, queries, words
+from tallyforge.llm import ann, bpe, fixity, html_text, language_id, licences, media, mixing, near_dedup, quotations, queries, sql, words
 from tallyforge.llm.queries import word_bpe
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +45,7 @@ def sql_rows(name, tables):
     con = duckdb.connect()
     for t, path in tables.items():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
-    found = con.execute(queries.oracle_sql()[name])
+    found = con.execute(queries.oracle_sql().get(name, name))
     columns = [c[0] for c in found.description]
     return columns, comparable(columns, found.fetchall())
 
@@ -54,7 +54,7 @@ def sql_rows(name, tables):
 def test_oracles(spark, name):
     df = queries.queries()[name](spark, SF)
     columns, want = sql_rows(name, {t: f"{SF}/{t}.parquet" for t in TABLES})
-    assert sorted(columns) == sorted(df.columns)
+    assert sorted(columns) == sorted(df.columns) and want
     assert comparable(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
@@ -146,7 +146,7 @@ def test_quotations(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/c")
     out = quotations.link_conversations(df.withColumn("lines", F.lit(1)).withColumn("position", F.lit(1)))
     rows = [tuple(r) for r in out.collect()]
-    assert comparable(out.columns, rows) == sql_rows("op2_quotations", {"conversations": f"{tmp_path}/c/*.parquet"})[1]
+    assert comparable(out.columns, rows) == sql_rows(sql.LINK_QUOTATIONS.replace("@MESSAGES@", "conversations"), {"conversations": f"{tmp_path}/c/*.parquet"})[1]
     by = {(r["conv_id"], r["turn"]): r for r in out.collect()}
     assert by[1, 1]["reply_to"] == 0 and by[1, 2]["reply_to"] == 1 and by[1, 2]["quote_levels"] == 2 and by[1, 3]["reply_to"] == 0 and by[1, 5]["reply_to"] == 3
     assert by[1, 2]["root_turn"] == 0 and by[1, 6]["root_turn"] == 4 and by[1, 2]["text"] == "Fine." and by[1, 2]["n_linked"] == 2
@@ -156,9 +156,29 @@ def test_quotations(spark, tmp_path):
     assert quotations.link_conversations(df.filter("false")).count() == 0
 
 
+def test_quotations_drill(spark, tmp_path):
+    """Planted quotes, some of them nested, are linked to the turns they were taken from and stripped; also of a very long text."""
+    rng = random.Random(2)
+    rows = [(c, t, "user", f"line {c} {t}\n" + " ".join(rng.choice("abc") for _ in range(5)) * (200_000 if (c, t) == (3, 5) else 1)) for c in range(20) for t in range(30)]
+    df = spark.createDataFrame([*rows, *rows[:2], (None, 1, "user", "x"), (7, None, "user", None), (8, 99, None, None)], "conv_id long, turn long, role string, text string").repartition(3)
+    planted = quotations.drill(df.withColumn("__t", F.lit(1)).drop("__t"))
+    out = {(r["conv_id"], r["turn"]): r for r in quotations.link_conversations(planted).collect()}
+    nested = 0
+    for c, t, _, text in rows:
+        digit, r = hashlib.md5(f"{c}|{t}".encode()).hexdigest()[0], out[c, t]
+        want = t - 1 if t and digit < "8" else None
+        assert r["reply_to"] == want and r["text"] == (text.strip() if want is not None else text)
+        assert r["n_linked"] == r["n_quoted"] == (t > 0 and digit < "8") + (t > 1 and digit < "4") and r["quote_levels"] == (2 if t > 1 and digit < "4" else int(want is not None))
+        nested += t > 1 and digit < "4"
+    assert nested > 100
+    df.coalesce(1).write.parquet(f"{tmp_path}/c")
+    out = quotations.link_conversations(planted)
+    assert comparable(out.columns, [tuple(r) for r in out.collect()]) == sql_rows("op2_quotations", {"conversations": f"{tmp_path}/c/*.parquet"})[1]
+
+
 def test_quotations_run_no_python(spark):
     df = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
-    plan = quotations.link_conversations(df)._jdf.queryExecution().executedPlan().toString()
+    plan = quotations.link_conversations(quotations.drill(df))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
@@ -264,6 +284,72 @@ def test_language_id(spark):
     assert found[3]["lang_pred"] == found[4]["lang_pred"] == "und" and found[3]["score"] == 0
 
 
+def brute_languages(labelled, asked):
+    """Predictions and scores by dictionaries: the textbook's formula for each language, on normalised texts."""
+    def lines(text):
+        low = "".join(c if c.isalpha() else " " for c in text.lower())
+        own = re.sub(" +", " ", low).removeprefix(" ")
+        return "\0\0 " + own if own.strip() else ""
+
+    models, chars = {}, set()
+    for lang in sorted({x for _, x in labelled}):
+        four = Counter()
+        for text, x in labelled:
+            line = lines(text)
+            if x == lang:
+                four.update(line[i - 3 : i + 1] for i in range(3, len(line)))
+        counts = {4: four}
+        for n in (3, 2, 1):
+            counts[n] = Counter(g[1:] for g in counts[n + 1])
+        chars |= set(counts[1])
+        models[lang] = counts
+    out = []
+    follow = {lang: {n: defaultdict(list) for n in c} for lang, c in models.items()}
+    discount = {}
+    for lang, c in models.items():
+        for n, of in c.items():
+            ones, twos = (sum(v == k for v in of.values()) for k in (1, 2))
+            discount[lang, n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+            for g, v in of.items():
+                follow[lang][n][g[:-1]].append(v)
+
+    def p(lang, gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(chars) + 1)
+        same = follow[lang][n].get(gram[:-1])
+        if not same:
+            return p(lang, gram[1:])
+        d = discount[lang, n]
+        return max(models[lang][n].get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(lang, gram[1:])
+
+    for text in asked:
+        line = lines(text or "")
+        size = len(line) - 3
+        if size <= 0:
+            out.append(("und", 0.0, None))
+            continue
+        mean = {lang: -sum(math.log(p(lang, line[i - 3 : i + 1])) for i in range(3, len(line))) / size for lang in models}
+        best = min(mean, key=lambda x: (mean[x], x))
+        out.append((best, 1 / sum(math.exp(-(m - mean[best]) * min(size, 40)) for m in mean.values()), mean[best]))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    """Every prediction, score and cross-entropy of a fixture; and rejection just where the cross-entropy is over the limit of texts not seen."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()
+    texts = [(r["text"][:400], r["lang"]) for r in docs] + [("", "en"), (None, "en"), ("12 !", "de")]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(df)
+    got = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
+    for i, (lang, score, entropy) in enumerate(brute_languages([(t, x) for t, x in texts if t and x], [t for t, _ in texts])):
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, rel=1e-6)
+        assert entropy is None or got[i]["cross_entropy"] == pytest.approx(entropy, rel=1e-9)
+        smooth = None if entropy is None else (entropy * got[i]["letters"] + 40 * model.mean.get(lang, entropy)) / (got[i]["letters"] + 40)
+        assert got[i]["rejected"] == (lang == "und" or smooth > model.limit.get(lang, math.inf))
+    assert 1 < len(model.limit) <= len(model.langs)
+
+
 def test_language_id_awkward(spark):
     df, rows = awkward(spark)
     out = language_id.identify_held_out(df).collect()
@@ -566,7 +652,10 @@ def test_mixing_weights(spark):
 
 def test_mixing_awkward(spark):
     df, rows = awkward(spark)
+    for name in ("__source", "_source", "parts", "_salt"):
+        df = df.withColumn(name, F.lit("kept"))
     out = mixing.poisson_mix(df, total=500)
+    assert out.filter("__source = 'kept' and _salt = 'kept'").count() == out.count()
     assert out.filter("source is null").count() > 50 and out.filter("doc_id is null").count() > 0
     assert set(df.columns) < set(out.columns)
     assert mixing.poisson_mix(df.filter("false")).count() == 0 == mixing.poisson_mix(df, weights={}).count()
