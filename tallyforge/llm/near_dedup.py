@@ -21,12 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import GOLDEN, cut, grouped, mix, pieces, ship, utf8
 from .words import shingle_sets
 
 FRACTION_BITS = 40
 BLOCK = 192
+#: Members of a bucket that meet in one task by the join of its key; larger buckets are salted.
+SALTED = 256
+#: Of so many classes of keys it is known how large their largest bucket is: a table of proven size, which is broadcast.
+KEY_CLASSES = 1 << 14
+#: Bytes of sets that a task of exact comparisons gets.
+TASK_BYTES = 64 << 20
 
 
 def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -84,18 +91,24 @@ def node_of(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketches(k: int, m: int, bands: int):
+def prefix(own: np.ndarray, percent: int) -> np.ndarray:
+    """So many of a set's smallest hashes that any set similar enough has one of them among its own."""
+    return own[: len(own) - -(-percent * len(own) // 100) + 1]
+
+
+def _sketches(k: int, m: int, bands: int, percent: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             more = [c for c in batch.schema.names if c not in ("id", "text")]
             for a, b in pieces(offsets):
                 sets = shingle_sets(data, offsets[a : b + 1], k)
-                keys = band_keys(super_minhash(sets, m), bands).view(np.int64)
-                filled = np.array([len(s) > 0 for s in sets], bool)
-                lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, keys.reshape(-1))
+                keys = [prefix(s, percent).view(np.int64) for s in sets] if exact else list(band_keys(super_minhash(sets, m), bands).view(np.int64))
+                keys = [x[: len(x) * (len(s) > 0)] for x, s in zip(keys, sets)]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(at, np.concatenate([*keys, np.zeros(0, np.int64)]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), lists.filter(pa.array(filled)) if filled.all() else pa.array([x if f else None for x, f in zip(keys.tolist(), filled)], pa.list_(pa.int64())), *[batch.column(c).slice(a, b - a) for c in more]],
+                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), lists, *[batch.column(c).slice(a, b - a) for c in more]],
                     ["id", "n_shingles", "node", "keys", *more],
                 )
 
@@ -210,31 +223,73 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, mark: F.Column | None = None) -> DataFrame:
+def _salted(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds salts, the number of salts of each row's key."""
+    out = df.withColumn("class", F.pmod("key", F.lit(KEY_CLASSES))).join(F.broadcast(hot), "class", "left")  # KEY_CLASSES rows at most
+    return out.withColumn("salts", F.coalesce("salts", F.lit(1))).drop("class")
+
+
+def _bucket_rows(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, size, rep, rep_n, salts, salt) of the buckets of two nodes or more.
+
+    Sizes and representatives are aggregated before the shuffle. To be joined back, the members of a large bucket are dealt
+    to several salts, and the bucket's one row is repeated for each.
+    """
+    members = nodes.select("node", "copies", "n", F.explode("keys").alias("key"))
+    heads = cut(members.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", "node", "n")).alias("rep")).filter("size > 1"))
+    hot = heads.filter(F.col("size") > SALTED).groupBy(F.pmod("key", F.lit(KEY_CLASSES)).alias("class")).agg(F.ceil(F.max("size") / SALTED).cast("int").alias("salts"))
+    heads = _salted(heads, hot).select("key", "size", "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    members = _salted(members.select("key", "node", "n"), hot).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    return members.join(heads, ["key", "salt"]).select("key", "node", "n", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n"), "salts", "salt")
+
+
+def _blocks(open_: DataFrame) -> DataFrame:
+    """(node, rep, comp, block, task): the pairs of blocks, as tasks, in which the nodes (key, node, rep, comp, salts, salt) of open buckets meet.
+
+    Only nodes of different components need to meet. A component of BLOCK nodes or more has blocks of its own, which don't meet each other; smaller
+    ones share blocks. So a bucket of one large component and a few other nodes sends each node of the former to few tasks.
+    """
+    of = open_.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
+    large = of.filter(F.col("c") >= BLOCK).withColumn("own", F.ceil(F.col("c") / BLOCK).cast("long"))
+    before = F.sum("own").over(Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))  # a row for BLOCK nodes
+    large = large.withColumn("low", F.coalesce(before, F.lit(0)))
+    small = of.filter(F.col("c") < BLOCK).groupBy("key").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("shared"), F.max("salts").alias("salts"))
+    taken = large.groupBy("key").agg(F.sum("own").alias("taken"), F.max("salts").alias("more"))
+    layout = small.join(taken, "key", "full_outer").select("key", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("salts", "more").alias("salts"))
+    layout = layout.select("key", "shared", "taken", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    large = large.select("key", "comp", "own", "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = open_.join(layout, ["key", "salt"]).join(large, ["key", "comp", "salt"], "left")
+    mixed = F.col("taken") + F.pmod(F.xxhash64("comp", "node"), F.greatest("shared", F.lit(1)))
+    block = F.when(F.col("own").isNull(), mixed).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("own")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("taken") + F.col("shared") - 1)
+    apart = F.when(F.col("own").isNull(), every).otherwise(F.filter(every, lambda b: (b < F.col("low")) | (b >= F.col("low") + F.col("own"))))
+    rows = rows.withColumn("block", block).select("key", "node", "n", "rep", "comp", "block", F.explode(apart).alias("other"))
+    return rows.select("node", "n", "rep", "comp", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, percent: int = 85, bands: int = 16, rows: int = 4, exact: bool = False, mark: F.Column | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. Two rows are linked when
     100 * shared >= percent * united of their sets of ``shingle_words``-word shingles; component_id is the smallest
     id reachable over links, and kept tells that a row's id is it. A pair of just that similarity s is missed by the
-    bands with probability (1 - s**rows)**bands: 8e-6 by default.
+    bands with probability (1 - s**rows)**bands: 8e-6 by default. ``exact`` takes, in place of bands, the smallest hashes of each
+    set as its keys, so many that no link can be missed; it costs more where a shingle is common.
 
     Null and empty texts have an empty set and stand alone. A null id takes part in no minimum: such a row gets the
     smallest id of its group, or null, and kept is then false, or true if it stands alone. Repeated rows and ids are kept; each row goes by
     its own text. Further columns are ignored. With ``mark``, a string column that tells rows apart, the result has it too,
     and ``group``: one number for all rows linked, whatever their ids, null for an empty set.
     """
-    ship(docs.sparkSession)
     spark = docs.sparkSession
+    ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marked = source if mark is None else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
     schema = "id long, n_shingles long, node long, keys array<long>" + (", mark string" if mark is not None else "")
-    base = cut(marked.mapInArrow(_sketches(shingle_words, bands * rows, bands), schema))
+    base = cut(marked.mapInArrow(_sketches(shingle_words, bands * rows, bands, percent, exact), schema))
     nodes = cut(base.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
 
-    members = nodes.select("node", "copies", "n", F.explode("keys").alias("key"))
-    # sizes and representatives are aggregated before the shuffle, and the join back may split a hot key
-    heads = members.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("copies", "node", "n")).alias("rep")).filter("size > 1")
-    buckets = cut(members.join(heads, "key").select("key", "node", "n", "size", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")))
+    buckets = cut(_bucket_rows(nodes))
 
     close = f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)"
     star = buckets.filter(f"node <> rep and {close}").select("node", "rep").distinct()
@@ -251,16 +306,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.filter(f"100 * shared >= {percent} * (size(set) + size(rep_set) - shared)").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     groups = cut(components(links))
 
-    open_ = buckets.filter("size > 2").join(groups, "node", "left").select("key", "node", "rep", "size", F.coalesce("comp", "node").alias("comp"))
-    split = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    open_ = open_.join(split, "key")
-    n = F.ceil(F.col("size") / BLOCK).cast("long")
-    open_ = open_.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n))
-    tasks = open_.select("key", "node", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("node", "rep", "comp", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
-    tasks = tasks.join(sets, "node")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = tasks.repartition(width, "task").sortWithinPartitions("task").mapInArrow(_block_links(percent), "a long, b long")
+    open_ = buckets.filter("size > 2").join(groups, "node", "left").select("key", "node", "n", "rep", "salts", "salt", F.coalesce("comp", "node").alias("comp"))
+    split = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("salts").alias("more")).filter("low <> high").select("key", F.explode(F.sequence(F.lit(0), F.col("more") - 1)).alias("salt"))
+    tasks = cut(_blocks(open_.join(split, ["key", "salt"])))
+    volume = tasks.agg(F.sum("n")).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * volume // TASK_BYTES))
+    met = tasks.drop("n").join(sets, "node")
+    more = met.repartition(width, "task").sortWithinPartitions("task").mapInArrow(_block_links(percent), "a long, b long")
     more = cut(more.distinct())
     if more.head(1):
         groups = components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("comp").alias("b"))))

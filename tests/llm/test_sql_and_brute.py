@@ -490,14 +490,15 @@ def near_copies(n, seed=7):
     return rows + rows[: n // 3]
 
 
-@pytest.mark.parametrize(("block", "k", "percent"), [(192, 3, 85), (8, 3, 85), (16, 5, 80)])
-def test_near_dedup(spark, monkeypatch, block, k, percent):
+@pytest.mark.parametrize(("block", "salted", "k", "percent", "exact"), [(192, 256, 3, 85, False), (8, 16, 3, 85, False), (16, 4, 5, 80, False), (8, 16, 3, 85, True), (192, 256, 5, 80, True)])
+def test_near_dedup(spark, monkeypatch, block, salted, k, percent, exact):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SALTED", salted)
     texts = near_copies(90) + [f"other text number {i} of no kin at all" for i in range(30)]
     ids = list(range(1000, 1000 + len(texts)))
     random.Random(block).shuffle(ids)
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(df, shingle_words=k, percent=percent, bands=20).collect()}
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(df, shingle_words=k, percent=percent, bands=20, exact=exact).collect()}
     sets, want = brute_components(ids, texts, k, percent)
     assert len(set(want)) > 35
     assert [(got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in ids] == [(len(s), c, i == c) for i, s, c in zip(ids, sets, want)]
@@ -513,6 +514,34 @@ def test_near_dedup_awkward(spark):
     assert near_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_prefix():
+    """Two sets that are just similar enough share a hash of their prefixes, in whatever order their common part lies."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 20, 100, 333):
+        for percent in (80, 85, 100):
+            for _ in range(30):
+                pool = rng.integers(0, 2**62, 2 * n + 1).astype(np.uint64)
+                a = np.unique(pool[:n])
+                b = np.unique(np.concatenate([rng.permutation(a)[: max(1, -(-percent * n // 100))], pool[n : n + n // 20]]))
+                if near_dedup.similar(len(np.intersect1d(a, b)), len(a), len(b), percent):
+                    assert len(np.intersect1d(near_dedup.prefix(a, percent), near_dedup.prefix(b, percent)))
+
+
+def test_blocks_of_one_large_component(spark, monkeypatch):
+    """All pairs of different components meet, and a node of a large component goes to few tasks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    comps = [0] * 200 + [1] * 30 + list(range(2, 14))
+    rows = [(7, i, 5, 0, c, 3, i % 3) for i, c in enumerate(comps)]
+    out = near_dedup._blocks(spark.createDataFrame(rows, "key long, node long, n long, rep long, comp long, salts int, salt int")).collect()
+    by = defaultdict(set)
+    for r in out:
+        by[r["task"]].add(r["node"])
+    met = {(a, b) for nodes in by.values() for a in nodes for b in nodes if comps[a] != comps[b]}
+    assert len(met) == sum(a != b for a in comps for b in comps)
+    copies = Counter(r["node"] for r in out)
+    assert max(copies[i] for i in range(200)) <= 6
+
+
 def test_super_minhash():
     """The batch equals the element-by-element algorithm, and its share of equal slots estimates the similarity."""
     rng = np.random.default_rng(5)
