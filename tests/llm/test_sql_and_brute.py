@@ -696,7 +696,7 @@ def test_mixing_awkward(spark):
 def brute_licences(text, templates):
     """All windows, without MinHash."""
     token = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())
-    out = set()
+    out = {}
     w = token(text)
     for name, texts in templates.items():
         for t in texts:
@@ -704,15 +704,19 @@ def brute_licences(text, templates):
             k = min(5, len(tw))
             grams = [tuple(tw[i : i + k]) for i in range(len(tw) - k + 1)]
             own = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
-            runs = [grams[a : a + 65] if len(grams[a : a + 65]) == 65 or not a else grams[-65:] for a in range(0, len(grams), 65)]
-            for run in runs:
-                half = 1
-                while len(run) > half + 1:
-                    half *= 2
-                for a in range(0, len(own), half):
-                    if len(set(own[a : a + 2 * half]) & set(run)) >= 0.8 * len(set(run)):
-                        out.add(name)
-    return ",".join(sorted(out))
+            half = 1
+            while len(grams) > half + 1:
+                half *= 2
+            for a in range(0, len(own), half):
+                places = [i for i in range(a, min(a + 2 * half, len(own))) if own[i] in set(grams)]
+                share = len({own[i] for i in places}) / len(set(grams))
+                if share >= 0.8 and (name not in out or (share, len(set(grams))) > (out[name][0], out[name][3])):
+                    out[name] = (share, places[0], places[-1] + k, len(set(grams)))
+    kept = []
+    for name, (share, first, past, size) in sorted(out.items(), key=lambda m: (-m[1][0], -m[1][3], m[0])):
+        if not any(2 * len(set(range(first, past)) & set(range(a, b))) > min(past - first, b - a) for _, a, b in kept):
+            kept.append((name, first, past))
+    return ",".join(sorted(x for x, _, _ in kept))
 
 
 def test_licences(spark):
@@ -733,6 +737,22 @@ def test_licences(spark):
     assert licences.scan(df.filter("false")).count() == 0
 
 
+def test_licences_are_told_apart(spark):
+    """Each template is found as its own licence alone, whatever neighbours share with it; templates may be a table of long texts."""
+    rows = [(name, t) for name, texts in licences.TEMPLATES.items() for t in texts]
+    df = spark.createDataFrame([(i, f"some words before {t} and some after it") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+    rng = random.Random(9)
+    long = [" ".join(f"w{rng.randrange(500)}" for _ in range(3000)) for _ in range(2)]
+    templates = spark.createDataFrame([("one", long[0]), ("two", long[1]), (None, "x"), ("none", None)], "licence string, text string")
+    asked, _ = awkward(spark)
+    part = long[0].split()
+    asked = asked.select("doc_id", "text").unionByName(spark.createDataFrame([(50, "x " * 700 + long[0]), (51, " ".join(part[:2300])), (52, " ".join(part[:2700]) + " y" * 9000 + " " + long[1]), (52, long[1])], "doc_id long, text string"))
+    found = licences.scan(asked, templates=templates).filter("n_licences > 0").collect()
+    assert sorted((r["doc_id"], r["licences"]) for r in found) == [(50, "one"), (52, "one,two"), (52, "two")]
+
+
 # --- op10
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body>
