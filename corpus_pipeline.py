@@ -19,7 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: without a letter, or unlike every language learned from ``docs``."""
+    """Drops documents that language ID rejects: without a letter (null and empty texts too), or unlike every language learned from ``docs``.
+
+    Rows with a null id or lang are judged, but teach nothing. Repeated rows are judged alike. An empty table gives an empty one.
+    """
     ship(spark)
     known = docs.filter(~language_id.held_out(F.col("doc_id"))).filter("doc_id is not null")
     return language_id.annotate(docs, language_id.fit(known)).filter("not rejected").select(*COLUMNS)
@@ -42,12 +45,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that all sources have the same expected number of rows; shuffles globally."""
+    """Repeats or drops documents so that all sources have the same expected number of rows; shuffles globally.
+
+    A null source is one of them; rows of a null id draw by their text. An empty table gives an empty one.
+    """
     return mixing.poisson_mix(docs).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each whole text: doc_id, source, lang, n_tokens, ids."""
+    """Token ids of each whole text: doc_id, source, lang, n_tokens, ids. A null or empty text has none; every row gives a row."""
     ship(spark)
     return bpe.encode_with(docs, word_bpe(), ["doc_id", "source", "lang"])
 
@@ -66,7 +72,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what no stage reads any more
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
