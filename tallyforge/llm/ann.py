@@ -2,8 +2,8 @@
 
 On a bounded sample the driver builds the graph of nearest neighbours, cuts it into parts of equal size with few broken
 edges, and trains a small network to tell, for a vector, in which parts its neighbours lie. Every row is indexed
-under the network's first choice; a query is routed to the several most probable parts, as many as held-out vectors of
-the sample need for the wanted recall, and all rows there are ranked by exact distance.
+under the network's first choice; a query is routed to its most probable parts, until their probabilities add up to the mass that
+held-out vectors of the sample need for the wanted recall: a query amid one part searches few, one between parts more. All rows there are ranked by exact distance.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .common import cut, grouped, ship
 
 POINTS, QUERIES = 4096, 512
+#: Bytes of vectors that a task of the search gets.
+TASK_BYTES = 64 << 20
 NEIGHBOURS = 10
 #: Parts by default, at least and at most, and the rows of the sample for each.
 FEWEST_PARTS, MOST_PARTS, SAMPLE_OF_PART = 32, 256, 256
@@ -139,16 +141,29 @@ class Router:
 class Index:
     router: Router
     parts: int
-    probes: int
+    mass: float
+
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of each vector, the most probable first, and how many of them its mass takes."""
+        logits = self.router.logits(x)
+        order = np.argsort(-logits, axis=1, kind="stable")
+        return order, (_before(logits, order) <= self.mass).sum(axis=1)
+
+
+def _before(logits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The probability of all parts before each place of ``order``."""
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p = np.take_along_axis(p / p.sum(axis=1, keepdims=True), order, axis=1)
+    return np.cumsum(p, axis=1) - p
 
 
 def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0) -> Index:
-    """Learn from the sample ``x``. The number of probes is the least that finds ``recall`` of the true neighbours of the
+    """Learn from the sample ``x``. The mass is the least that finds ``recall`` of the true neighbours of the
     fifth of the sample that the router hasn't learned from."""
     rng = np.random.default_rng(seed)
     k = min(NEIGHBOURS, max(len(x) - 1, 1))
     if parts < 2 or len(x) < 4 * parts:
-        return Index(Router(np.zeros(x.shape[1]), 1.0, [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]), 1, 1)
+        return Index(Router(np.zeros(x.shape[1]), 1.0, [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]), 1, 1.0)
     near = neighbour_graph(x, k)
     part = balanced_parts(near, parts, rng)
     target = np.zeros((len(x), parts))
@@ -161,9 +176,9 @@ def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0) -> Index:
     logits = router.logits(x)
     home, ranked = logits.argmax(axis=1), np.argsort(-logits, axis=1, kind="stable")
     place = np.argsort(ranked, axis=1)  # of each part in a vector's ranking
-    needed = np.sort(place[test][np.arange(len(test))[:, None], home[near[test]]].reshape(-1))
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
-    return Index(router, parts, min(parts, probes))
+    before = _before(logits[test], ranked[test])
+    needed = np.sort(np.take_along_axis(before, np.take_along_axis(place[test], home[near[test]], axis=1), axis=1).reshape(-1))
+    return Index(router, parts, float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]))
 
 
 def _assign(shared, counts: dict[int, int], ids: dict[int, int], k: int):
@@ -176,14 +191,14 @@ def _assign(shared, counts: dict[int, int], ids: dict[int, int], k: int):
             if not batch.num_rows:
                 continue
             x = vectors(batch.column("v"))
-            ranked = np.argsort(-index.router.logits(x), axis=1, kind="stable")
+            ranked, wanted = index.ranked(x)
             if not counts:
                 found = [[int(p)] for p in ranked[:, 0]]
             else:
                 found = []
-                for order in ranked:
+                for order, probes in zip(ranked, wanted):
                     take, rows = 0, 0
-                    while take < index.parts and (take < index.probes or rows < k + 1):
+                    while take < index.parts and (take < probes or rows < k + 1):
                         rows += ids.get(int(order[take]), 0)
                         take += 1
                     found.append([int(p) for p in order[:take] if counts.get(int(p))])
@@ -281,7 +296,8 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     put = asked.withColumn("theirs", F.pmod(F.xxhash64("id", "v", F.lit(1)), blocks(q_counts, QUERIES))).withColumn("mine", F.explode(F.sequence(F.lit(0), blocks(both, POINTS) - 1)))
     task = F.xxhash64("part", F.col("mine").cast("long"), F.col("theirs").cast("long"))
     met = placed.select(task.alias("task"), F.lit(False).alias("query"), "id", "v").unionByName(put.select(task.alias("task"), F.lit(True).alias("query"), "id", "v"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moved = 8 * dims * sum(n * -(-q_counts[p] // QUERIES) for p, n in both.items())
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved // TASK_BYTES))
     found = met.repartition(width, "task").sortWithinPartitions("task").mapInArrow(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best))
