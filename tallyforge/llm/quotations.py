@@ -65,19 +65,18 @@ def passages(lines: DataFrame) -> DataFrame:
     whole = F.transform(runs, lambda r: F.struct(F.element_at(r, 1)["depth"].alias("depth"), F.array_join(F.filter(F.transform(r, lambda x: x["text"]), lambda t: t != ""), " ").alias("text")))
     single = F.transform("own_lines", lambda x: F.struct(x["depth"].alias("depth"), x["text"].alias("text")))
     every = F.array_distinct(F.concat(F.filter(whole, lambda x: x["text"] != ""), single))
-    return out.select("conv_id", "turn", F.explode(every).alias("p")).select("conv_id", "turn", F.col("p.depth").alias("depth"), F.md5("p.text").alias("passage"))
+    return out.select("conv_id", "turn", F.explode(every).alias("p")).select("conv_id", "turn", F.col("p.depth").alias("depth"), F.unhex(F.md5("p.text")).alias("passage"))
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, source_turn, passages): how many quoted passages of a depth come from which message."""
-    every = passages(messages).distinct()
-    # conversations without a quote have nothing to link, and no key of theirs is sorted
-    quoting = every.filter("depth > 0").select("conv_id").distinct()
-    every = every.join(quoting, "conv_id", "left_semi")
+    """(conv_id, turn, depth, source_turn, passages): how many quoted passages of a depth come from which message, or from none.
+
+    What is dealt out is hashes, by conversation and passage, once; no text is.
+    """
+    every = passages(messages).repartition("conv_id", "passage").distinct()
     before = Window.partitionBy("conv_id", "passage").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     source = F.max(F.when(F.col("depth") == 0, F.col("turn"))).over(before)
-    found = every.withColumn("source_turn", source).filter("depth > 0 and source_turn is not null")
-    return found.groupBy("conv_id", "turn", "depth", "source_turn").agg(F.count("*").alias("passages"))
+    return every.withColumn("source_turn", source).filter("depth > 0").groupBy("conv_id", "turn", "depth", "source_turn").agg(F.count("*").alias("passages"))
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -103,16 +102,15 @@ def link_conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_c
     of role and text. Messages stay rows: a conversation of any length is never gathered in one.
     """
     picked = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = parsed(picked)
-    known = rows.filter("conv_id is not null and turn is not null")
-    quoting = known.filter("quote_levels > 0").select("conv_id").distinct()
-    related = known.select("conv_id", "turn", "lines").join(quoting, "conv_id", "left_semi")
-    found = cut(links(related))
-    quoted = passages(related.filter(F.exists("lines", lambda x: x["depth"] > 0))).filter("depth > 0").distinct().groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted"))
-    linked = found.groupBy("conv_id", "turn").agg(F.sum("passages").alias("n_linked"), F.max(F.when(F.col("depth") == 1, F.struct("passages", "source_turn")))["source_turn"].alias("reply_to"))
+    known = parsed(picked.filter("conv_id is not null and turn is not null"))
+    found = cut(links(known.select("conv_id", "turn", "lines")))
+    there = F.col("source_turn").isNotNull()
+    linked = found.groupBy("conv_id", "turn").agg(F.sum("passages").alias("n_quoted"), F.sum(F.when(there, F.col("passages"))).alias("n_linked"), F.max(F.when(there & (F.col("depth") == 1), F.struct("passages", "source_turn")))["source_turn"].alias("reply_to"))
     root = threads(linked.filter("reply_to is not null"))
-    facts = quoted.join(linked, ["conv_id", "turn"], "left").join(root, ["conv_id", "turn"], "left")
-    out = rows.join(facts, ["conv_id", "turn"], "left").withColumn("root_turn", F.coalesce("root_turn", "turn"))
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("root_turn"), F.asc_nulls_last("turn"), "role", "clean", F.coalesce("text", F.lit("")))
+    facts = linked.join(root, ["conv_id", "turn"], "left")
+    out = picked.join(facts, ["conv_id", "turn"], "left").withColumn("root_turn", F.coalesce("root_turn", "turn"))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("root_turn"), F.asc_nulls_last("turn"), "role", F.coalesce("text", F.lit("")))
+    # texts are parsed again after they were dealt out and sorted, as their parts would be as large as they are
+    out = parsed(out.withColumn("position", F.row_number().over(order).cast("long")))
     zero = F.lit(0).cast("long")
-    return out.select("conv_id", F.row_number().over(order).cast("long").alias("position"), "turn", "role", "reply_to", "root_turn", F.col("quote_levels").cast("long").alias("quote_levels"), F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"), F.col("clean").alias("text"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), "clean", F.lit("\n<|end|>\n")).alias("formatted"))
+    return out.select("conv_id", "position", "turn", "role", "reply_to", "root_turn", F.col("quote_levels").cast("long").alias("quote_levels"), F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"), F.col("clean").alias("text"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), "clean", F.lit("\n<|end|>\n")).alias("formatted"))

@@ -24,7 +24,7 @@ up AS (SELECT conv_id, turn, reply_to AS root FROM replies WHERE reply_to IS NOT
 roots AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY ALL),
 every AS (SELECT c.*, r.reply_to, coalesce(x.root, c.turn) AS root_turn, coalesce(q.n_quoted, 0) AS n_quoted, coalesce(r.n_linked, 0) AS n_linked FROM cleaned c
   LEFT JOIN replies r USING (conv_id, turn) LEFT JOIN quoted q USING (conv_id, turn) LEFT JOIN roots x USING (conv_id, turn))
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS LAST, turn NULLS LAST, role, clean, coalesce(text, '')) AS position, turn, role, reply_to, root_turn,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS LAST, turn NULLS LAST, role, coalesce(text, '')) AS position, turn, role, reply_to, root_turn,
   CAST(coalesce(levels, 0) AS BIGINT) AS quote_levels, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked, clean AS text, '<|' || role || '|>' || chr(10) || clean || chr(10) || '<|end|>' || chr(10) AS formatted FROM every
 """
 
