@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe, fixity, html_text, language_id, licences, media, mixing, near_dedup, quotations
-from .common import table
+from .common import cut, table
 from .sql import ORACLES
 
 
@@ -22,7 +22,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.link_conversations(quotations.drill(table(spark, sf_dir, "conversations")))
+    planted = cut(quotations.drill(table(spark, sf_dir, "conversations")))  # read twice
+    return quotations.link_conversations(planted)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
