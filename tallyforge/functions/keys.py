@@ -21,10 +21,21 @@ def bucket(key: Column) -> Column:
 
 
 def remix(key: Column) -> Column:
-    """Spreads a long over all 64 bits; for internal use, as no other engine has this hash."""
+    """Spreads a value over all 64 bits; for internal use, as no other engine has this hash."""
     return F.xxhash64(key)
 
 
+def to_bytes(x: Column) -> Column:
+    """A BIGINT as eight bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(x), 16, "0"))
+
+
+def from_bytes(data: Column) -> Column:
+    """The BIGINT of eight bytes, the highest first."""
+    unsigned = F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
+    return F.when(unsigned >= F.lit(str(2**63)).cast("decimal(20,0)"), unsigned - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
+
+
 def int32(x: Column) -> Column:
     """A BIGINT wrapped to the range of 32 signed bits."""
     return (x + F.lit(2147483648)).bitwiseAND(4294967295) - F.lit(2147483648)

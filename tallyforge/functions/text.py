@@ -25,5 +25,9 @@ def preview(counts: Column, most: int = 10) -> Column:
 
 
 def list_hash(counts: Column) -> Column:
-    """A hash of a list that depends on its order."""
-    return F.xxhash64(counts)
+    """A rolling hash of a list of (k, n) that depends on its order: 31 times what came before plus k and n, in 31 bits."""
+
+    def step(h: Column, c: Column) -> Column:
+        return F.pmod((h * 31 + F.pmod(c["k"], F.lit(1 << 31))) * 31 + F.pmod(c["n"], F.lit(1 << 31)), F.lit(1 << 31))
+
+    return F.aggregate(counts, F.lit(17).cast("long"), step)

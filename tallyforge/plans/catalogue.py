@@ -16,6 +16,7 @@ from ..functions import keys, text
 from ..operators import combinators as C
 from ..operators import index, ranking, reads, sketches
 from ..operators.fold import fold, ordered_fold
+from ..sources import files
 from ..sources.files import bigram_stream, spread
 from ..sources.store import Catalog, IdStore, MaintainedIndex, StoreConfig
 
@@ -669,3 +670,64 @@ def store_salvage(spark, d):
     found = rows.agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
     told = report.agg(F.sum("rows").alias("rows"), (~F.max("lost")).alias("whole"))
     return found.join(F.broadcast(told)).select(F.col("rows"), (F.col("whole") & (F.col("n") == F.col("rows"))).alias("whole"), "keys")  # one row by one row
+
+
+def _order_totals(spark, d, cached: bool):
+    store = Catalog(spark, _shared_folder(spark, "stores")).counts("orders", cached=cached)
+    return store.write(order_store(spark, d).select("key", F.lit(0).alias("seq"), "value")).flush()
+
+
+@query(f"SELECT key, value FROM ({ORDERS})")
+def cached_scan(spark, d):
+    """What the cache of a store holds after it was read."""
+    store = _order_totals(spark, d, True)
+    store.state().count()
+    return store.cached_rows()
+
+
+@query(f"SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS place FROM ({ORDERS})")
+def ordered_scan(spark, d):
+    """T4: a scan in the order of keys; ids that grow along it are ranked to places."""
+    rows = _order_totals(spark, d, False).ordered().withColumn("at", F.monotonically_increasing_id())
+    before = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    earlier = before.select(F.col("part").alias("p"), F.col("n").alias("m"))
+    start = before.join(earlier, F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))  # a row for each task
+    return rows.join(F.broadcast(start), F.shiftright("at", 33) == F.col("part")).select("key", "value", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+
+
+@query("SELECT c_name AS line, CAST(sum(length(c_name) + 1) OVER () AS BIGINT) AS bytes FROM customer")
+def file_lines(spark, d):
+    """Lines written to files and read again, beside the bytes of those files."""
+    folder = f"{_shared_folder(spark, 'files')}/lines"
+    table(spark, d, "customer").select("c_name").write.text(folder)
+    size = files.byte_files(spark, folder).filter("path like '%.txt'").agg(F.sum("length").alias("bytes"))
+    return files.lines(spark, folder).withColumnRenamed("value", "line").join(F.broadcast(size))  # by one row
+
+
+@query("SELECT c_custkey AS key, c_name, c_acctbal FROM customer WHERE c_custkey = 5")
+def object_file(spark, d):
+    """One object written as JSON and read again."""
+    path = f"{_shared_folder(spark, 'files')}/object"
+    files.store_object(table(spark, d, "customer").filter("c_custkey = 5").select(F.col("c_custkey").alias("key"), "c_name", "c_acctbal"), path)
+    return files.read_object(spark, path, "key long, c_name string, c_acctbal double")
+
+
+@query("SELECT count(*) AS rows, true AS in_range FROM orders")
+def uniform_keys(spark, d):
+    """As many random keys as there are orders, all of them below the bound."""
+    keys_ = files.uniform_stream(spark, table(spark, d, "orders").count(), 1000)
+    return keys_.agg(F.count("*").alias("rows"), F.coalesce(F.bool_and(F.col("key").between(0, 999)), F.lit(True)).alias("in_range"))
+
+
+@query("""SELECT key, list_reduce(list_prepend(17::HUGEINT, list(v ORDER BY k)), lambda h, v: (h * 961 + v) % 2147483648)::BIGINT AS hash
+  FROM (SELECT l_suppkey AS key, l_partkey AS k, (l_partkey::HUGEINT * 31 + sum(l_linenumber)) AS v FROM lineitem GROUP BY 1, 2) GROUP BY key""")
+def list_hash(spark, d):
+    """X3."""
+    return _order_counts(spark, d, "l_linenumber").select("key", text.list_hash(F.col("value")).alias("hash"))
+
+
+@query("SELECT -o_orderkey AS key, printf('%016X', -o_orderkey) AS bytes, -o_orderkey AS again FROM orders")
+def long_codec(spark, d):
+    """Longs as bytes, the highest first, and back."""
+    rows = table(spark, d, "orders").select((-F.col("o_orderkey")).alias("key")).withColumn("data", keys.to_bytes(F.col("key")))
+    return rows.select("key", F.hex("data").alias("bytes"), keys.from_bytes(F.col("data")).alias("again"))

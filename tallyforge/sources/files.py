@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import remix
 from ..functions.text import bigrams, tokens
 
 
@@ -47,7 +48,7 @@ def bigram_keys(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(key) a 64-bit hash for each pair of adjacent tokens, hashed in place: no string is made of a pair."""
     t = tokens(F.col(text_col))
     n = F.greatest(F.size(t) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: remix(F.struct(a, b)))
     return spread(texts.select(text_col)).select(F.explode(pairs).alias("key"))
 
 
@@ -58,4 +59,4 @@ def bigram_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def uniform_stream(spark: SparkSession, n: int, below: int = 1_000_000, seed: int = 0) -> DataFrame:
     """(key, seq, value 1): random keys, the same for a seed however they are partitioned."""
-    return spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(below)).alias("key"), F.col("id").alias("seq"), F.lit(1).cast("long").alias("value"))
+    return spark.range(n).select(F.pmod(remix(F.struct("id", F.lit(seed))), F.lit(below)).alias("key"), F.col("id").alias("seq"), F.lit(1).cast("long").alias("value"))

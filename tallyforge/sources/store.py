@@ -151,6 +151,15 @@ class Store:
         self.held.append(found.persist())
         return found
 
+    def cached_rows(self) -> DataFrame:
+        """What is held of states that were read; nothing unless the store is cached and was read since the last write."""
+        kind = self.config.schema
+        return self.held[-1] if self.held else self.spark.createDataFrame([], T.StructType([kind["key"], kind["value"]]))
+
+    def ordered(self) -> DataFrame:
+        """The state in the order of keys."""
+        return self.state().orderBy("key")
+
     def _forget(self) -> None:
         """Frees cached states, which a write has made old."""
         for df in self.held:

@@ -172,6 +172,13 @@ def test_hybrid_counts(spark):
     assert alone.select(sketches.counted(F.col("value"), F.lit(9).cast("long"), 1000)).first()[0] >= 10
 
 
+def test_codec(spark):
+    values = [0, 1, -1, 255, 2**63 - 1, -(2**63)]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", keys.to_bytes(F.col("v")).alias("b")).withColumn("again", keys.from_bytes(F.col("b"))).collect()
+    assert [bytes(r["b"]) for r in got] == [v.to_bytes(8, "big", signed=True) for v in values] and [r["again"] for r in got] == values
+    assert spark.range(1).select(keys.from_bytes(F.lit(None).cast("binary"))).first()[0] is None
+
+
 def test_buckets(spark):
     got = spark.createDataFrame([(k,) for k in (0, 31, 32, 63, -1, -(2**63))], "key long").select(keys.bucket(F.col("key"))).collect()
     assert [r[0] for r in got] == [32, 63, 0, 31, 31, 32]
