@@ -61,9 +61,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs no long recomputation."""
+    """Materialise ``df`` in the shared folder, so that a lost executor costs no long recomputation.
+
+    Spark deletes the shuffle files of what nothing refers to any more when the driver collects garbage. That is asked for here, as they
+    would else lie on the executors' disks until it happens by itself.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def unused(df: DataFrame, name: str) -> str:
