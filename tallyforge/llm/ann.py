@@ -4,10 +4,14 @@ On a bounded sample the driver builds the graph of nearest neighbours, cuts it i
 edges, and trains a small network to tell, for a vector, in which parts its neighbours lie. Every row is indexed
 under the network's first choice; a query is routed to its most probable parts, until their probabilities add up to the mass that
 held-out vectors of the sample need for the wanted recall: a query amid one part searches few, one between parts more. All rows there are ranked by exact distance.
+
+Where a table needs more parts than one machine can learn, each part is cut in the same way into parts of its own. Executors
+learn these, from a bounded sample of the part's rows and of rows of other parts that would search it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,27 +27,31 @@ POINTS, QUERIES = 4096, 512
 #: Bytes of vectors that a task of the search gets.
 TASK_BYTES = 64 << 20
 NEIGHBOURS = 10
-#: Parts by default, at least and at most, and the rows of the sample for each.
+#: Parts by default, at least, and at most for one router; the rows of the sample for each.
 FEWEST_PARTS, MOST_PARTS, SAMPLE_OF_PART = 32, 256, 256
+#: Rows of a part that are routed by one task within it.
+ROUTED = 65_536
 
 
 def parts_for(total: int) -> int:
-    """The largest power of two up to sqrt(total) / 32, within the bounds above: the finer the parts, the less is searched,
-    but each needs its share of a sample that one machine can learn from."""
+    """The largest power of two up to sqrt(total) / 32, but 32 at least and what two levels of routers can tell at most (enough for
+    4e12 rows): the finer the parts, the less is searched, but each needs its share of a sample."""
     parts = FEWEST_PARTS
-    while parts < MOST_PARTS and (2 * parts * 32) ** 2 <= total:
+    while parts < MOST_PARTS**2 and (2 * parts * 32) ** 2 <= total:
         parts *= 2
     return parts
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest others of each vector, in blocks."""
-    n, out = len(x), np.zeros((len(x), k), np.int64)
+def neighbour_graph(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The k nearest others in ``x`` of each of its vectors, or the k nearest of each vector ``of``, in blocks."""
+    own, of = of is None, x if of is None else of
+    n, out = len(of), np.zeros((len(of), k), np.int64)
     square = (x * x).sum(axis=1)
-    step = max(1, min(512, (1 << 22) // max(n, 1)))  # 32 MB a block
+    step = max(1, min(512, (1 << 22) // max(len(x), 1)))  # 32 MB a block
     for a in range(0, n, step):
-        d = square[None, :] - 2 * x[a : a + step] @ x.T
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        d = square[None, :] - 2 * of[a : a + step] @ x.T
+        if own:
+            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
         out[a : a + step] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
@@ -157,56 +165,123 @@ def _before(logits: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.cumsum(p, axis=1) - p
 
 
-def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0) -> Index:
-    """Learn from the sample ``x``. The mass is the least that finds ``recall`` of the true neighbours of the
-    fifth of the sample that the router hasn't learned from."""
+def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0, visitors: np.ndarray | None = None) -> Index:
+    """Learn from the sample ``x``, and from ``visitors``, vectors that only search. The mass is the least that finds
+    ``recall`` of the true neighbours of the fifth of both that the router hasn't learned from."""
     rng = np.random.default_rng(seed)
     k = min(NEIGHBOURS, max(len(x) - 1, 1))
     if parts < 2 or len(x) < 4 * parts:
         return Index(Router(np.zeros(x.shape[1]), 1.0, [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]), 1, 1.0)
-    near = neighbour_graph(x, k)
+    near, own = neighbour_graph(x, k), len(x)
     part = balanced_parts(near, parts, rng)
+    if visitors is not None and len(visitors):
+        near = np.concatenate([near, neighbour_graph(x, k, visitors)])
+        x = np.concatenate([x, visitors])
     target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), k), part[near].reshape(-1)), 1 / (k + 2))
-    target[np.arange(len(x)), part] += 2 / (k + 2)
+    np.add.at(target, (np.repeat(np.arange(len(x)), k), part[near].reshape(-1)), 1.0)
+    target[np.arange(own), part] += 2
+    target /= target.sum(axis=1, keepdims=True)
     test = rng.permutation(len(x))[: max(1, len(x) // 5)]
     learn = np.ones(len(x), bool)
     learn[test] = False
     router = Router.fit(x[learn], target[learn], rng)
     logits = router.logits(x)
-    home, ranked = logits.argmax(axis=1), np.argsort(-logits, axis=1, kind="stable")
+    home, ranked = logits[:own].argmax(axis=1), np.argsort(-logits, axis=1, kind="stable")
     place = np.argsort(ranked, axis=1)  # of each part in a vector's ranking
     before = _before(logits[test], ranked[test])
     needed = np.sort(np.take_along_axis(before, np.take_along_axis(place[test], home[near[test]], axis=1), axis=1).reshape(-1))
     return Index(router, parts, float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]))
 
 
-def _assign(shared, counts: dict[int, int], ids: dict[int, int], k: int):
+def _placed(index: Index | None, x: np.ndarray, counts: dict[int, int], ids: dict[int, int], k: int, base: int = 0) -> list[list[int]]:
     """The part of each row; of queries the parts to search, as many more as hold k ids besides the query's. ``counts``
-    has the rows of each part, ``ids`` the ids, each counted in one of its parts only."""
+    has the rows of each part, ``ids`` the ids, each counted in one of its parts only; it is empty for rows. Parts are numbered from ``base``."""
+    if index is None:  # a part of so few rows that none came into the sample
+        return [[base] if not counts or counts.get(base) else []] * len(x)
+    ranked, wanted = index.ranked(x)
+    if not counts:
+        return [[base + int(p)] for p in ranked[:, 0]]
+    found = []
+    for order, probes in zip(ranked, wanted):
+        take, rows = 0, 0
+        while take < index.parts and (take < probes or rows < k + 1):
+            rows += ids.get(base + int(order[take]), 0)
+            take += 1
+        found.append([base + int(p) for p in order[:take] if counts.get(base + int(p))])
+    return found
+
+
+def _assign(shared, counts: dict[int, int], ids: dict[int, int], k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = _placed(shared.value, vectors(batch.column("v")), counts, ids, k)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
+
+    return run
+
+
+def _learn(children: dict[int, int], recall: float):
+    """(part, model) for each part, from its sampled rows and visitors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "part"):
+            part = group.column("part")[0].as_py()
+            x, visits = vectors(group.column("v")), group.column("visits").to_numpy(zero_copy_only=False).astype(bool)
+            order = np.lexsort((*x.T, group.column("id").to_numpy()))  # whatever order the rows came in
+            x, visits = x[order], visits[order]
+            model = pickle.dumps(fit(x[~visits], children[part], recall, part, x[visits]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([model], pa.binary())], ["part", "model"])
+
+    return run
+
+
+def _descend(counts: dict[int, int], ids: dict[int, int], k: int):
+    """The same as _assign within parts: the row with the model comes first in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        task, index = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = vectors(batch.column("v"))
-            ranked, wanted = index.ranked(x)
-            if not counts:
-                found = [[int(p)] for p in ranked[:, 0]]
-            else:
-                found = []
-                for order, probes in zip(ranked, wanted):
-                    take, rows = 0, 0
-                    while take < index.parts and (take < probes or rows < k + 1):
-                        rows += ids.get(int(order[take]), 0)
-                        take += 1
-                    found.append([int(p) for p in order[:take] if counts.get(int(p))])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
+            tasks = batch.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1), len(tasks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if tasks[a] != task:
+                    task, index = tasks[a], None
+                rows = batch.slice(a, b - a)
+                model = rows.column("model")[0].as_py()
+                if model is not None:
+                    index, rows = pickle.loads(model), rows.slice(1)
+                if rows.num_rows:
+                    base = rows.column("part")[0].as_py() * MOST_PARTS
+                    found = _placed(index, vectors(rows.column("v")), counts, ids, k, base)
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
     return run
 
 
+def _within(rows: DataFrame, sizes: dict[int, int], models: DataFrame, counts: dict[int, int], ids: dict[int, int], k: int) -> DataFrame:
+    """(id, v, parts): rows (id, v, part) placed within their parts. A part's rows are dealt over tasks of some ROUTED rows,
+    and its model goes to each of them. ``sizes`` has the rows of each part, of MOST_PARTS at most."""
+    spark = rows.sparkSession
+    deal = F.broadcast(spark.createDataFrame([(p, -(-n // ROUTED)) for p, n in sizes.items()], "part int, tasks long"))
+    task = F.xxhash64("part", "mine")
+    own = rows.join(deal, "part").withColumn("mine", F.pmod(F.xxhash64("id", "v"), "tasks"))
+    led = models.join(deal, "part").withColumn("mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+    own = own.select(task.alias("task"), F.lit(1).alias("place"), "part", "id", "v", F.lit(None).cast("binary").alias("model"))
+    led = led.select(task.alias("task"), F.lit(0).alias("place"), "part", F.lit(0).cast("long").alias("id"), F.array().cast("array<double>").alias("v"), "model")
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(-(-n // ROUTED) for n in sizes.values()))
+    met = own.unionByName(led).repartition(width, "task").sortWithinPartitions("task", "place")
+    return met.mapInArrow(_descend(counts, ids, k), "id long, v array<double>, parts array<int>")
+
+
+def _counts(points: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """The rows of each part, and its ids, each in its first part only."""
+    ids = points.groupBy("id").agg(F.min("part").alias("part"))
+    return {r[0]: r[1] for r in points.groupBy("part").count().collect()}, {r[0]: r[1] for r in ids.groupBy("part").count().collect()}
+
+
 def vectors(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -244,15 +319,19 @@ def nearest(group: pa.Table, k: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_modulus: int = 100, sample_rows: int | None = None, recall: float = 0.96, rows_per_part: int = 60, most_parts: int | None = None) -> DataFrame:
+def search(
+    table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_modulus: int = 100, sample_rows: int | None = None,
+    recall: float = 0.96, rows_per_part: int = 60, most_parts: int | None = None, router_parts: int = MOST_PARTS,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``query_modulus``.
 
     score is the Euclidean distance in doubles; ties go to the smaller id. Rows with a null id, and vectors that are null, zero,
     hold null or non-finite components or aren't of the commonest length, take no part. A query's own id is never a
     candidate, even if other rows repeat it; repeated rows of another id count once, and an id of several vectors stands
     at its nearest. Equal rows are made one before all else. The index is fitted on about ``sample_rows`` rows chosen by a hash of id and vector, which bounds what the driver gets; all rows are indexed. By default
-    there are 32 parts, more for tables of millions of rows (see parts_for), and 256 rows of the sample for each. Rows of a
-    part and its queries meet in blocks of about 4096 by 512, however many there are.
+    there are 32 parts, more for tables of millions of rows (see parts_for), and 256 rows of the sample for each. Beyond
+    ``router_parts`` parts (at most 256) they are cut in two levels, the second by executors, the larger parts into more, with the root of
+    ``recall`` for each level. Rows of a part and its queries meet in blocks of about 4096 by 512, however many there are.
     """
     ship(table.sparkSession)
     spark = table.sparkSession
@@ -266,37 +345,51 @@ def search(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         return empty
     dims, total = sizes[0]
     most_parts = most_parts or parts_for(total)
-    sample_rows = sample_rows or SAMPLE_OF_PART * most_parts
-    rows = rows.filter(F.size("v") == dims)
-    share = int(min(1.0, sample_rows / total) * 1_000_000) + 1
-    sample = rows.filter(F.pmod(F.xxhash64("id", "v"), F.lit(1_000_000)) < share).select("id", "v").toArrow()
-    x = vectors(sample.column("v"))[np.argsort(sample.column("id").to_numpy(), kind="stable")]
     parts = 1
     while parts < most_parts and parts * rows_per_part < total:
         parts *= 2
-    index = fit(x, parts, recall) if len(x) else fit(np.zeros((1, dims)), 1, recall)
+    top = min(parts, router_parts, MOST_PARTS)
+    level_recall = recall if top == parts else recall**0.5
+    sample_rows = sample_rows or SAMPLE_OF_PART * min(most_parts, router_parts, MOST_PARTS)
+    rows = rows.filter(F.size("v") == dims)
+    share = int(min(1.0, sample_rows / total) * 1_000_000_000) + 1
+    drawn = F.pmod(F.xxhash64("id", "v"), F.lit(1_000_000_000))
+    sample = rows.filter(drawn < share).select("id", "v").toArrow()
+    x = vectors(sample.column("v"))[np.argsort(sample.column("id").to_numpy(), kind="stable")]
+    index = fit(x, top, level_recall) if len(x) else fit(np.zeros((1, dims)), 1, recall)
     shared = spark.sparkContext.broadcast(index)
 
     schema = "id long, v array<double>, parts array<int>"
-    points = cut(rows.mapInArrow(_assign(shared, {}, {}, k), schema).select("id", "v", F.element_at("parts", 1).alias("part")))
-    counts = {r[0]: r[1] for r in points.groupBy("part").count().collect()}
-    ids = {r[0]: r[1] for r in points.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect()}
-    queries = rows.filter(F.col("id") % query_modulus == 0)
-    asked = cut(queries.mapInArrow(_assign(shared, counts, ids, k), schema).select("id", "v", F.explode("parts").alias("part")))
+    each, first = F.explode("parts").alias("part"), F.element_at("parts", 1).alias("part")
+    points = cut(rows.mapInArrow(_assign(shared, {}, {}, k), schema).select("id", "v", first))
+    counts, ids = _counts(points)
+    asked = cut(rows.filter(F.col("id") % query_modulus == 0).mapInArrow(_assign(shared, counts, ids, k), schema).select("id", "v", each))
     q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
+    if top < parts:
+        children = {p: 1 << int(np.clip(np.rint(np.log2(parts * n / total)), 0, np.log2(MOST_PARTS))) for p, n in counts.items()}
+        shares = [(p, int(min(1.0, SAMPLE_OF_PART * children[p] / n) * 1_000_000_000) + 1) for p, n in counts.items()]
+        shares = F.broadcast(spark.createDataFrame(shares, "part int, share long"))  # a row for each of 256 parts at most
+        again = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(1_000_000_000))
+        inside = points.join(shares, "part").filter(again < F.col("share")).select("part", "id", "v", F.lit(False).alias("visits"))
+        visits = rows.filter(drawn < share // 4 + 1).mapInArrow(_assign(shared, counts, ids, k), schema)
+        visits = visits.select("id", "v", F.col("parts")[0].alias("home"), each).filter("part != home").select("part", "id", "v", F.lit(True).alias("visits"))
+        learned = inside.unionByName(visits).repartition(top, "part").sortWithinPartitions("part").mapInArrow(_learn(children, level_recall), "part int, model binary")
+        models = cut(learned)
+        points = cut(_within(points, counts, models, {}, {}, k).select("id", "v", first))
+        counts, ids = _counts(points)
+        asked = cut(_within(asked, q_counts, models, counts, ids, k).select("id", "v", each))
+        q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
     if not q_counts:
         return empty
 
-    def blocks(of: dict[int, int], size: int) -> F.Column:
-        return F.element_at(F.create_map(*[F.lit(y) for p, n in of.items() for y in (p, -(-n // size))]), F.col("part"))
-
-    both = {p: counts[p] for p in q_counts if counts.get(p)}
-    placed = points.filter(F.col("part").isin(list(both))).withColumn("mine", F.pmod(F.xxhash64("id", "v"), blocks(both, POINTS)))
-    placed = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks(q_counts, QUERIES) - 1)))
-    put = asked.withColumn("theirs", F.pmod(F.xxhash64("id", "v", F.lit(1)), blocks(q_counts, QUERIES))).withColumn("mine", F.explode(F.sequence(F.lit(0), blocks(both, POINTS) - 1)))
-    task = F.xxhash64("part", F.col("mine").cast("long"), F.col("theirs").cast("long"))
+    both = [(p, -(-counts[p] // POINTS), -(-n // QUERIES)) for p, n in q_counts.items() if counts.get(p)]
+    deal = F.broadcast(spark.createDataFrame(both, "part int, point_blocks long, query_blocks long"))  # 65 536 rows at most
+    some, zero = F.xxhash64("id", "v"), F.lit(0).cast("long")
+    placed = points.join(deal, "part").withColumn("mine", F.pmod(some, "point_blocks")).withColumn("theirs", F.explode(F.sequence(zero, F.col("query_blocks") - 1)))
+    put = asked.join(deal, "part").withColumn("theirs", F.pmod(F.xxhash64("id", "v", F.lit(1)), "query_blocks")).withColumn("mine", F.explode(F.sequence(zero, F.col("point_blocks") - 1)))
+    task = F.xxhash64("part", "mine", "theirs")
     met = placed.select(task.alias("task"), F.lit(False).alias("query"), "id", "v").unionByName(put.select(task.alias("task"), F.lit(True).alias("query"), "id", "v"))
-    moved = 8 * dims * sum(n * -(-q_counts[p] // QUERIES) for p, n in both.items())
+    moved = 8 * dims * sum(counts[p] * blocks for p, _, blocks in both)
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved // TASK_BYTES))
     found = met.repartition(width, "task").sortWithinPartitions("task").mapInArrow(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -109,8 +109,8 @@ def test_ann_of_repeated_rows(spark):
 
 def test_ann_of_large_tables(spark):
     """The number of parts that a table of millions of rows gets grows with it; more parts keep the recall."""
-    sizes = [ann.parts_for(n) for n in (0, 10**6, 2**22 - 1, 2**22, 2**24, 2**26, 10**12)]
-    assert sizes == [32, 32, 32, 64, 128, 256, 256]
+    sizes = [ann.parts_for(n) for n in (0, 10**6, 2**22 - 1, 2**22, 2**24, 2**26, 10**12, 10**14)]
+    assert sizes == [32, 32, 32, 64, 128, 256, 16_384, 65_536]
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 16))[rng.integers(0, 200, 20_000)] + 0.4 * rng.standard_normal((20_000, 16))
     df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(list(x))})).repartition(4)
@@ -125,6 +125,30 @@ def test_ann_of_large_tables(spark):
     assert len(found) == 200 and hits >= 0.9 * 2000
 
 
+def test_ann_of_parts_within_parts(spark):
+    """Two levels of routers keep the recall, the k nearest of small parts, and results that depend on no order of rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 16))[rng.integers(0, 200, 20_000)] + 0.4 * rng.standard_normal((20_000, 16))
+    x[:6_000] = x[0] + 1e-3 * rng.standard_normal((6_000, 16))  # a third of all rows about one point
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(list(x))}))
+    runs = [ann.search(d, most_parts=64, router_parts=8).orderBy("query_id", "rank").collect() for d in (df.repartition(4), df.orderBy(F.desc("vec_id")))]
+    assert runs[0] == runs[1] and [r["rank"] for r in runs[0]] == list(range(1, 11)) * 200
+    found = {}
+    for r in runs[0]:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert r["score"] == pytest.approx(float(np.sqrt(np.square(x[r["vec_id"]] - x[r["query_id"]]).sum())), rel=1e-12)
+    hits = 0
+    for q in range(0, 20_000, 100):
+        d = np.square(x - x[q]).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert len(found) == 200 and hits >= 0.9 * 2000
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    for r in ann.search(same, most_parts=8, router_parts=2, rows_per_part=20).collect():
+        others = [i for i in range(11) if i != r["query_id"]]
+        assert r["score"] == 0.0 and r["vec_id"] == others[r["rank"] - 1]
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.standard_normal((128, 8)) + 9 * np.eye(8)[i % 8] for i in range(4)])
