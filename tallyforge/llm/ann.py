@@ -3,7 +3,7 @@
 On a bounded sample the driver builds the graph of nearest neighbours, cuts it into parts of equal size with few broken
 edges, and trains a small network to tell, for a vector, in which parts its neighbours lie. Every row is indexed
 under the network's first choice; a query is routed to its most probable parts, until their probabilities add up to the mass that
-held-out vectors of the sample need for the wanted recall: a query amid one part searches few, one between parts more. All rows there are ranked by exact distance.
+a bounded sample of rows needs for the wanted recall of its true neighbours among all rows: a query amid one part searches few, one between parts more. All rows there are ranked by exact distance.
 
 Where a table needs more parts than one machine can learn, each part is cut in the same way into parts of its own. Executors
 learn these, from a bounded sample of the part's rows and of rows of other parts that would search it.
@@ -31,6 +31,8 @@ NEIGHBOURS = 10
 FEWEST_PARTS, MOST_PARTS, SAMPLE_OF_PART = 32, 256, 256
 #: Rows of a part that are routed by one task within it.
 ROUTED = 65_536
+#: Rows whose true neighbours among all rows set the mass.
+CALIBRATION_ROWS = 256
 
 
 def parts_for(total: int) -> int:
@@ -151,11 +153,23 @@ class Index:
     parts: int
     mass: float
 
-    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ranked(self, x: np.ndarray, mass: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The parts of each vector, the most probable first, and how many of them its mass takes."""
         logits = self.router.logits(x)
         order = np.argsort(-logits, axis=1, kind="stable")
-        return order, (_before(logits, order) <= self.mass).sum(axis=1)
+        return order, (_before(logits, order) <= (self.mass if mass is None else mass)).sum(axis=1)
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """For each vector and part the probability of all parts that come before it."""
+        logits = self.router.logits(x)
+        order = np.argsort(-logits, axis=1, kind="stable")
+        return np.take_along_axis(_before(logits, order), np.argsort(order, axis=1), axis=1)
+
+
+def _quantile(needed: np.ndarray, recall: float) -> float:
+    """The least mass that suffices for the share ``recall`` of what needs these masses."""
+    needed = np.sort(needed.reshape(-1))
+    return float(needed[min(len(needed) - 1, max(0, int(np.ceil(recall * len(needed))) - 1))])
 
 
 def _before(logits: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -167,7 +181,7 @@ def _before(logits: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0, visitors: np.ndarray | None = None) -> Index:
     """Learn from the sample ``x``, and from ``visitors``, vectors that only search. The mass is the least that finds
-    ``recall`` of the true neighbours of the fifth of both that the router hasn't learned from."""
+    ``recall`` of the neighbours in the sample of the fifth of both that the router hasn't learned from."""
     rng = np.random.default_rng(seed)
     k = min(NEIGHBOURS, max(len(x) - 1, 1))
     if parts < 2 or len(x) < 4 * parts:
@@ -185,20 +199,17 @@ def fit(x: np.ndarray, parts: int, recall: float, seed: int = 0, visitors: np.nd
     learn = np.ones(len(x), bool)
     learn[test] = False
     router = Router.fit(x[learn], target[learn], rng)
-    logits = router.logits(x)
-    home, ranked = logits[:own].argmax(axis=1), np.argsort(-logits, axis=1, kind="stable")
-    place = np.argsort(ranked, axis=1)  # of each part in a vector's ranking
-    before = _before(logits[test], ranked[test])
-    needed = np.sort(np.take_along_axis(before, np.take_along_axis(place[test], home[near[test]], axis=1), axis=1).reshape(-1))
-    return Index(router, parts, float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]))
+    index, home = Index(router, parts, 1.0), router.logits(x[:own]).argmax(axis=1)
+    index.mass = _quantile(np.take_along_axis(index.before(x[test]), home[near[test]], axis=1), recall)
+    return index
 
 
-def _placed(index: Index | None, x: np.ndarray, counts: dict[int, int], ids: dict[int, int], k: int, base: int = 0) -> list[list[int]]:
+def _placed(index: Index | None, x: np.ndarray, counts: dict[int, int], ids: dict[int, int], k: int, base: int = 0, mass: float | None = None) -> list[list[int]]:
     """The part of each row; of queries the parts to search, as many more as hold k ids besides the query's. ``counts``
     has the rows of each part, ``ids`` the ids, each counted in one of its parts only; it is empty for rows. Parts are numbered from ``base``."""
     if index is None:  # a part of so few rows that none came into the sample
         return [[base] if not counts or counts.get(base) else []] * len(x)
-    ranked, wanted = index.ranked(x)
+    ranked, wanted = index.ranked(x, mass)
     if not counts:
         return [[base + int(p)] for p in ranked[:, 0]]
     found = []
@@ -236,8 +247,9 @@ def _learn(children: dict[int, int], recall: float):
     return run
 
 
-def _descend(counts: dict[int, int], ids: dict[int, int], k: int):
-    """The same as _assign within parts: the row with the model comes first in its task."""
+def _descend(counts: dict[int, int], ids: dict[int, int], k: int, mass: float | None):
+    """The same as _assign within parts: the row with the model comes first in its task. Without ``k``, what a vector's mass must be to
+    reach each part within (see Index.before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, index = None, None
@@ -254,15 +266,18 @@ def _descend(counts: dict[int, int], ids: dict[int, int], k: int):
                 if model is not None:
                     index, rows = pickle.loads(model), rows.slice(1)
                 if rows.num_rows:
-                    base = rows.column("part")[0].as_py() * MOST_PARTS
-                    found = _placed(index, vectors(rows.column("v")), counts, ids, k, base)
-                    yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
+                    part, x = rows.column("part")[0].as_py(), vectors(rows.column("v"))
+                    if k:
+                        found = pa.array(_placed(index, x, counts, ids, k, part * MOST_PARTS, mass), pa.list_(pa.int32()))
+                    else:
+                        found = pa.array((index.before(x) if index else np.zeros((len(x), 1))).tolist(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("v"), rows.column("part"), found], ["id", "v", "part", "found"])
 
     return run
 
 
-def _within(rows: DataFrame, sizes: dict[int, int], models: DataFrame, counts: dict[int, int], ids: dict[int, int], k: int) -> DataFrame:
-    """(id, v, parts): rows (id, v, part) placed within their parts. A part's rows are dealt over tasks of some ROUTED rows,
+def _within(rows: DataFrame, sizes: dict[int, int], models: DataFrame, counts: dict[int, int], ids: dict[int, int], k: int, mass: float | None = None) -> DataFrame:
+    """(id, v, part, found): rows (id, v, part) placed within their parts by _descend. A part's rows are dealt over tasks of some ROUTED rows,
     and its model goes to each of them. ``sizes`` has the rows of each part, of MOST_PARTS at most."""
     spark = rows.sparkSession
     deal = F.broadcast(spark.createDataFrame([(p, -(-n // ROUTED)) for p, n in sizes.items()], "part int, tasks long"))
@@ -273,7 +288,32 @@ def _within(rows: DataFrame, sizes: dict[int, int], models: DataFrame, counts: d
     led = led.select(task.alias("task"), F.lit(0).alias("place"), "part", F.lit(0).cast("long").alias("id"), F.array().cast("array<double>").alias("v"), "model")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(-(-n // ROUTED) for n in sizes.values()))
     met = own.unionByName(led).repartition(width, "task").sortWithinPartitions("task", "place")
-    return met.mapInArrow(_descend(counts, ids, k), "id long, v array<double>, parts array<int>")
+    return met.mapInArrow(_descend(counts, ids, k, mass), f"id long, v array<double>, part int, found array<{'int' if k else 'double'}>")
+
+
+def _truth(points: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """(place in x, part) of the k rows nearest to each of these few vectors, among all rows but those of its own id."""
+    square = (x * x).sum(axis=1)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, part = np.full((len(x), k), np.inf), np.zeros((len(x), k), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, POINTS):
+                some = batch.slice(at, POINTS)
+                y = vectors(some.column("v"))
+                d = square + (y * y).sum(axis=1) - 2 * x @ y.T
+                d[ids[:, None] == some.column("id").to_numpy()] = np.inf
+                d = np.concatenate([best, d], axis=1)
+                parts = np.concatenate([part, np.broadcast_to(some.column("part").to_numpy(), (len(x), len(y)))], axis=1)
+                pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+                best, part = np.take_along_axis(d, pick, axis=1), np.take_along_axis(parts, pick, axis=1)
+        place, at = np.nonzero(best < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(part[place, at], pa.int64()), pa.array(best[place, at])], ["place", "part", "d"])
+
+    near = points.mapInArrow(run, "place long, part long, d double")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("d", "part"))
+    got = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("place", "part").toArrow()  # len(x) times k at most
+    return np.stack([got.column("place").to_numpy(), got.column("part").to_numpy()], axis=1)
 
 
 def _counts(points: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
@@ -331,7 +371,7 @@ def search(
     at its nearest. Equal rows are made one before all else. The index is fitted on about ``sample_rows`` rows chosen by a hash of id and vector, which bounds what the driver gets; all rows are indexed. By default
     there are 32 parts, more for tables of millions of rows (see parts_for), and 256 rows of the sample for each. Beyond
     ``router_parts`` parts (at most 256) they are cut in two levels, the second by executors, the larger parts into more, with the root of
-    ``recall`` for each level. Rows of a part and its queries meet in blocks of about 4096 by 512, however many there are.
+    ``recall`` for each level. What a query searches is set by the true neighbours of CALIBRATION_ROWS rows. Rows of a part and its queries meet in blocks of about 4096 by 512, however many there are.
     """
     ship(table.sparkSession)
     spark = table.sparkSession
@@ -362,9 +402,8 @@ def search(
     schema = "id long, v array<double>, parts array<int>"
     each, first = F.explode("parts").alias("part"), F.element_at("parts", 1).alias("part")
     points = cut(rows.mapInArrow(_assign(shared, {}, {}, k), schema).select("id", "v", first))
-    counts, ids = _counts(points)
-    asked = cut(rows.filter(F.col("id") % query_modulus == 0).mapInArrow(_assign(shared, counts, ids, k), schema).select("id", "v", each))
-    q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
+    top_counts, top_ids = counts, ids = _counts(points)
+    models, mass = None, None
     if top < parts:
         children = {p: 1 << int(np.clip(np.rint(np.log2(parts * n / total)), 0, np.log2(MOST_PARTS))) for p, n in counts.items()}
         shares = [(p, int(min(1.0, SAMPLE_OF_PART * children[p] / n) * 1_000_000_000) + 1) for p, n in counts.items()]
@@ -375,9 +414,25 @@ def search(
         visits = visits.select("id", "v", F.col("parts")[0].alias("home"), each).filter("part != home").select("part", "id", "v", F.lit(True).alias("visits"))
         learned = inside.unionByName(visits).repartition(top, "part").sortWithinPartitions("part").mapInArrow(_learn(children, level_recall), "part int, model binary")
         models = cut(learned)
-        points = cut(_within(points, counts, models, {}, {}, k).select("id", "v", first))
+        points = cut(_within(points, counts, models, {}, {}, k).select("id", "v", F.col("found")[0].alias("part")))
         counts, ids = _counts(points)
-        asked = cut(_within(asked, q_counts, models, counts, ids, k).select("id", "v", each))
+    if index.parts > 1:
+        few = rows.withColumn("h", F.xxhash64("id", "v", F.lit(3))).orderBy("h", "id").select("id", "v").limit(CALIBRATION_ROWS).toArrow()
+        known, probe = few.column("id").to_numpy(), vectors(few.column("v"))
+        truth = _truth(points, known, probe, k)
+        upper = truth[:, 1] // MOST_PARTS if models is not None else truth[:, 1]
+        index.mass = _quantile(index.before(probe)[truth[:, 0], upper], level_recall)
+        if models is not None:
+            pairs = sorted({(int(a), int(b)) for a, b in zip(truth[:, 0], upper)})
+            table_of = spark.createDataFrame([(a, probe[a].tolist(), b) for a, b in pairs], "id long, v array<double>, part int")
+            before = {(r["id"], r["part"]): r["found"] for r in _within(table_of, {b: 1 for _, b in pairs}, models, {}, {}, 0).collect()}
+            mass = _quantile(np.array([before[int(a), int(b) // MOST_PARTS][int(b) % MOST_PARTS] for a, b in truth]), level_recall)
+        shared = spark.sparkContext.broadcast(index)
+    asked = rows.filter(F.col("id") % query_modulus == 0).mapInArrow(_assign(shared, top_counts, top_ids, k), schema).select("id", "v", each)
+    asked = cut(asked)
+    q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
+    if models is not None and q_counts:
+        asked = cut(_within(asked, q_counts, models, counts, ids, k, mass).select("id", "v", F.explode("found").alias("part")))
         q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
     if not q_counts:
         return empty
