@@ -31,7 +31,7 @@ NEIGHBOURS = 10
 FEWEST_PARTS, MOST_PARTS, SAMPLE_OF_PART = 32, 256, 256
 #: Rows of a part that are routed by one task within it.
 ROUTED = 65_536
-#: Rows whose true neighbours among all rows set the mass.
+#: Rows, about, whose true neighbours among all rows set the mass.
 CALIBRATION_ROWS = 256
 
 
@@ -416,20 +416,22 @@ def search(
         models = cut(learned)
         points = cut(_within(points, counts, models, {}, {}, k).select("id", "v", F.col("found")[0].alias("part")))
         counts, ids = _counts(points)
-    if index.parts > 1:
-        few = rows.withColumn("h", F.xxhash64("id", "v", F.lit(3))).orderBy("h", "id").select("id", "v").limit(CALIBRATION_ROWS).toArrow()
+    few = int(min(1.0, CALIBRATION_ROWS / total) * 1_000_000_000) + 1
+    few = rows.filter(F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(1_000_000_000)) < few).select("id", "v").toArrow()
+    if index.parts > 1 and few.num_rows:
         known, probe = few.column("id").to_numpy(), vectors(few.column("v"))
         truth = _truth(points, known, probe, k)
         upper = truth[:, 1] // MOST_PARTS if models is not None else truth[:, 1]
-        index.mass = _quantile(index.before(probe)[truth[:, 0], upper], level_recall)
-        if models is not None:
+        if len(truth):
+            index.mass = _quantile(index.before(probe)[truth[:, 0], upper], level_recall)
+        if len(truth) and models is not None:
             pairs = sorted({(int(a), int(b)) for a, b in zip(truth[:, 0], upper)})
-            table_of = spark.createDataFrame([(a, probe[a].tolist(), b) for a, b in pairs], "id long, v array<double>, part int")
-            before = {(r["id"], r["part"]): r["found"] for r in _within(table_of, {b: 1 for _, b in pairs}, models, {}, {}, 0).collect()}
+            visited = spark.createDataFrame([(a, probe[a].tolist(), b) for a, b in pairs], "id long, v array<double>, part int")
+            before = {(r["id"], r["part"]): r["found"] for r in _within(visited, {b: 1 for _, b in pairs}, models, {}, {}, 0).collect()}
             mass = _quantile(np.array([before[int(a), int(b) // MOST_PARTS][int(b) % MOST_PARTS] for a, b in truth]), level_recall)
         shared = spark.sparkContext.broadcast(index)
-    asked = rows.filter(F.col("id") % query_modulus == 0).mapInArrow(_assign(shared, top_counts, top_ids, k), schema).select("id", "v", each)
-    asked = cut(asked)
+    asked = rows.filter(F.col("id") % query_modulus == 0).mapInArrow(_assign(shared, top_counts, top_ids, k), schema)
+    asked = cut(asked.select("id", "v", each))
     q_counts = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
     if models is not None and q_counts:
         asked = cut(_within(asked, q_counts, models, counts, ids, k, mass).select("id", "v", F.explode("found").alias("part")))
