@@ -72,12 +72,12 @@ def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n, held) of (text, lang, back): how often a gram stands in all texts, and how often in those held back."""
-    held: dict[tuple[str, bool], list] = {}
+    """(lang, fold, gram, n) of (text, lang, fold): how often a gram stands in the texts of a fold."""
+    held: dict[tuple[str, int], list] = {}
     for batch in batches:
         _, offsets = utf8(batch.column("text"))
         texts = batch.column("text").to_pylist()
-        owners = list(zip(batch.column("lang").to_pylist(), batch.column("back").to_pylist()))
+        owners = list(zip(batch.column("lang").to_pylist(), batch.column("fold").to_pylist()))
         names = {o: i for i, o in enumerate(set(owners))}
         numbers = np.array([names[o] for o in owners], np.int64)
         for a, b in pieces(offsets, PIECE):
@@ -88,11 +88,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.setdefault(name, []).append((keys, count))
                 if len(held[name]) == 8:
                     held[name] = [_merge(*map(np.concatenate, zip(*held[name])))]
-    for (lang, back), parts in held.items():
+    for (lang, fold), parts in held.items():
         keys, count = _merge(*map(np.concatenate, zip(*parts)))
         for a in range(0, len(keys), 100_000):
             k, n = keys[a : a + 100_000], count[a : a + 100_000].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n), pa.array(n if back else np.zeros_like(n))], ["lang", "gram", "n", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(np.full(len(k), fold, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], ["lang", "fold", "gram", "n"])
 
 
 @dataclass
@@ -181,8 +181,8 @@ class Model:
 
 #: The weight, in characters, of a language's mean cross-entropy in that of a text: short texts are judged mildly.
 PRIOR = 40
-#: How far over the limit of the held-back texts of its language a text's cross-entropy may be: of the texts in the tables at hand
-#: none is over 1.31 times it, and text of no language learned is over twice.
+#: How far over the quantile of the texts of its language a text's cross-entropy may be: of the texts in the tables at hand
+#: none is over 1.22 times it, and text of no language learned is over twice.
 MARGIN = 1.5
 
 
@@ -219,48 +219,84 @@ SCORED = [("id", pa.int64()), ("letters", pa.int64()), ("lang_pred", pa.string()
 SCHEMA = "id long, letters long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-#: Of a table with few rows, the share held back at most.
-MOST_HELD = 0.2
+#: Into so many folds the training texts fall, by a hash of the text: each is scored by a model of the other folds.
+FOLDS = 5
+#: Width, as a share of a nat, of the classes in which a quantile is looked for.
+CLASSES = 4096
 
 
-def fit(labelled: DataFrame, *, calibration_rows: int = 4000, quantile: float = 0.999, margin: float = MARGIN) -> Model:
+def _model(counts: DataFrame, n: F.Column, langs: list[str], chars: int) -> Model:
+    """A model of the counts ``n``, of the languages that have any. The driver gets the counts of one language at a time."""
+    model = Model([], [])
+    for lang in langs:
+        own = counts.filter(F.col("lang") == lang).select("gram", n.alias("n")).filter("n > 0").toArrow()
+        if own.num_rows:
+            model.langs.append(lang)
+            model.models.append(KneserNey.fit(own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy(), chars))
+    return model
+
+
+def _quantile(found: DataFrame, value: F.Column, share: float) -> dict[str, float]:
+    """For each lang_pred the smallest value that at least ``share`` of its rows don't exceed, exactly: the driver gets the sizes of
+    classes of values, and then the values of one class of each language."""
+    found = found.select("lang_pred", value.alias("value")).withColumn("class", F.floor(F.col("value") * CLASSES))
+    classes: dict[str, list] = {}
+    for lang, at, n in found.groupBy("lang_pred", "class").count().collect():
+        classes.setdefault(lang, []).append((at, n))
+
+    def reach(sizes: list, rank: int) -> tuple:
+        """Where the row of that rank stands, and its rank there."""
+        for at, n in sorted(sizes):
+            if rank <= n:
+                return at, rank
+            rank -= n
+
+    place = {lang: reach(sizes, max(1, math.ceil(share * sum(n for _, n in sizes)))) for lang, sizes in classes.items()}
+    if not place:
+        return {}
+    wanted = F.create_map(*[F.lit(x) for lang, (at, _) in place.items() for x in (lang, at)])
+    values: dict[str, list] = {}
+    for lang, v, n in found.filter(F.col("class") == wanted[F.col("lang_pred")]).groupBy("lang_pred", "value").count().collect():
+        values.setdefault(lang, []).append((v, n))
+    return {lang: reach(values[lang], rank)[0] for lang, (_, rank) in place.items()}
+
+
+def fit(labelled: DataFrame, *, quantile: float = 0.999, margin: float = MARGIN) -> Model:
     """A model of the columns text and lang; rows without a lang teach nothing.
 
     All texts are counted, and the model keeps every counted four-gram of every language. The driver gets the counts of one
     language at a time; the model, about 16 bytes for each language's four-gram and each of its shorter ones, is broadcast.
-    Rejection is calibrated on about ``calibration_rows`` texts, a fifth of all at most, chosen by a hash of the text: a model
-    without their counts, which has not seen them, scores them. A text is rejected when its cross-entropy, with the
-    weight of PRIOR characters of the mean, is over ``margin`` times the ``quantile`` of its language's texts. A language without a text held
-    back rejects none.
+    Rejection is calibrated on all texts, in FOLDS folds by a hash of the text: each is scored by a model of the other folds,
+    which has not seen it or a copy of it. One such model at a time is in memory, and each text is scored once. A text is rejected when
+    its cross-entropy, with the weight of PRIOR characters of the mean, is over ``margin`` times the ``quantile`` of its language's texts.
+    Only texts of a language that stands in no other fold calibrate nothing, as no model that has not seen them knows it; a language
+    without a text that calibrates rejects none.
     """
     spark = labelled.sparkSession
     ship(spark)
-    labelled = labelled.select("text", "lang").filter("lang is not null and text is not null")
-    rows = labelled.count()
-    share = min(MOST_HELD, calibration_rows / rows) if rows else 0.0
-    back = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
-    counts = labelled.withColumn("back", back).mapInArrow(_count, "lang string, gram long, n long, held long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    labelled = labelled.select("text", "lang").filter("lang is not null and text is not null").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    own = [F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"fold{i}") for i in range(FOLDS)]
+    counts = labelled.mapInArrow(_count, "lang string, fold int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), *own)
     counts = cut(counts)
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     chars = counts.select(F.col("gram").bitwiseAND(F.lit(0xFFFF).cast("long"))).distinct().count()
-    model, first = Model(langs, []), Model([], [])
-    for lang in langs:
-        own = counts.filter(F.col("lang") == lang).select("gram", "n", "held").toArrow()
-        keys, n, held = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy(), own.column("held").to_numpy()
-        model.models.append(KneserNey.fit(keys, n, chars))
-        if (n > held).any():
-            first.langs.append(lang)
-            first.models.append(KneserNey.fit(keys[n > held], (n - held)[n > held], chars))
-    if first.langs:
-        shared = spark.sparkContext.broadcast(first)
-        part = labelled.filter(back).withColumn("id", F.lit(0).cast("long"))
-        found = cut(part.select("id", "text").mapInArrow(_score(shared), SCHEMA).filter("letters > 0").select("lang_pred", "letters", "cross_entropy"))
+    found = None
+    for i in range(FOLDS):
+        others = _model(counts, F.col("n") - F.col(f"fold{i}"), langs, chars)
+        if not others.langs:
+            continue
+        shared = spark.sparkContext.broadcast(others)
+        part = labelled.filter((F.col("fold") == i) & F.col("lang").isin(others.langs)).select(F.lit(0).cast("long").alias("id"), "text")
+        scored = cut(part.mapInArrow(_score(shared), SCHEMA).filter("letters > 0").select("lang_pred", "letters", "cross_entropy"))
+        shared.destroy()
+        found = scored if found is None else found.unionByName(scored)
+    model = _model(counts, F.col("n"), langs, chars)
+    if found is not None:
         model.mean = {r[0]: r[1] for r in found.groupBy("lang_pred").agg(F.sum(F.col("cross_entropy") * F.col("letters")) / F.sum("letters")).collect()}
-        if model.mean:
-            mean = F.create_map(*[F.lit(x) for kv in model.mean.items() for x in kv])
-            smooth = (F.col("cross_entropy") * F.col("letters") + PRIOR * mean[F.col("lang_pred")]) / (F.col("letters") + PRIOR)
-            model.limit = {r[0]: r[1] * margin for r in found.groupBy("lang_pred").agg(F.percentile_approx(smooth, quantile)).collect()}
-        shared.unpersist()
+    if model.mean:
+        mean = F.create_map(*[F.lit(x) for kv in model.mean.items() for x in kv])
+        smooth = (F.col("cross_entropy") * F.col("letters") + PRIOR * mean[F.col("lang_pred")]) / (F.col("letters") + PRIOR)
+        model.limit = {lang: v * margin for lang, v in _quantile(found, smooth, quantile).items()}
     return model
 
 

@@ -397,6 +397,46 @@ def test_language_id_keeps_every_gram(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(asked, model).collect()} == {1: "rare", 2: "big"}
 
 
+def test_language_id_calibrates_on_every_text(spark):
+    """Means and limits by hand: each text, scored by a model of the texts of the other folds, takes part."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null").limit(150).collect()
+    texts = [(r["text"][:300], r["lang"]) for r in rows] + [("ein einziger kurzer satz einer sprache für sich", "one")]
+    df = spark.createDataFrame(texts, "text string, lang string").repartition(3)
+    fold = {r[0]: r[1] for r in df.select("text", F.expr(f"cast(pmod(xxhash64(text), {language_id.FOLDS}) as int)")).collect()}
+    chars = len(np.unique(language_id.grams([t for t, _ in texts])[0] & np.uint64(0xFFFF)))
+    found = defaultdict(list)
+    for i in range(language_id.FOLDS):
+        others = language_id.Model([], [])
+        for lang in sorted({x for t, x in texts if fold[t] != i}):
+            codes, _ = language_id.grams([t for t, x in texts if x == lang and fold[t] != i])
+            others.langs.append(lang)
+            others.models.append(language_id.KneserNey.fit(*np.unique(codes, return_counts=True), chars))
+        asked = [t for t, x in texts if fold[t] == i and x in others.langs]
+        for loss, n in zip(*others.loss(asked)):
+            if n:
+                found[others.langs[int(loss.argmin())]].append((float(loss.min()), int(n)))
+    assert sum(map(len, found.values())) == sum(n > 0 for n in language_id.grams([t for t, x in texts if x != "one"])[1])
+    model = language_id.fit(df, quantile=0.9)
+    assert model.langs == sorted({x for _, x in texts}) and set(model.mean) == set(model.limit) == set(found)
+    for lang, own in found.items():
+        mean = sum(x for x, _ in own) / sum(n for _, n in own)
+        smooth = sorted((x + language_id.PRIOR * mean) / (n + language_id.PRIOR) for x, n in own)
+        assert model.mean[lang] == pytest.approx(mean, rel=1e-9)
+        assert model.limit[lang] == pytest.approx(smooth[math.ceil(0.9 * len(own)) - 1] * language_id.MARGIN, rel=1e-9)
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(8)
+    rows = [(lang, rng.choice([1.25, 1.2500001, rng.gauss(2, 0.0003), rng.random()])) for lang in "ab" for _ in range(20_000)] + [("c", 3.0)]
+    df = spark.createDataFrame(rows, "lang_pred string, v double").repartition(4)
+    for share in (0.0, 0.5, 0.999, 1.0):
+        got = language_id._quantile(df, F.col("v"), share)
+        for lang in "abc":
+            own = sorted(v for x, v in rows if x == lang)
+            assert got[lang] == own[max(1, math.ceil(share * len(own))) - 1]
+    assert language_id._quantile(df.filter("false"), F.col("v"), 0.5) == {}
+
+
 # --- op5
 
 
