@@ -926,6 +926,18 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
         assert len(mine) == 1 and (mine[0][0] is None, mine[0][0] or 0) == least
 
 
+def test_pipeline_learns_from_every_row(spark):
+    """A language of rows that op4 would hold out, and one of rows without an id, are learned too; one that no row teaches is dropped."""
+    rng = random.Random(9)
+    write = lambda first: " ".join("".join(chr(first + rng.randrange(24)) for _ in range(4)) for _ in range(30))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, write(0x61), "a", "s", 1) for i in range(100) if i not in held] + [(i, write(0x430), "b", "s", 1) for i in held[:30]]
+    rows += [(None, write(0x3B1), "c", "s", 1) for _ in range(30)]
+    unknown = [(i, write(0x10D0), None, "s", 1) for i in range(500, 510)]
+    kept = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(rows + unknown, DOC).repartition(3), SF)
+    assert sorted(r["text"] for r in kept.collect()) == sorted(r[1] for r in rows)
+
+
 def test_pipeline_awkward(spark, tmp_path):
     df, _ = awkward(spark)
     df.write.parquet(f"{tmp_path}/documents.parquet")
