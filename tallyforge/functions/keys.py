@@ -38,20 +38,21 @@ def from_bytes(data: Column) -> Column:
 
 def int32(x: Column) -> Column:
     """A BIGINT wrapped to the range of 32 signed bits."""
-    return (x + F.lit(2147483648)).bitwiseAND(4294967295) - F.lit(2147483648)
+    return F.shiftright(F.call_function("shiftleft", x, F.lit(32)), 32)
 
 
 def probes(key: Column, hashes: int, bits: int) -> Column:
     """The array of a key's ``hashes`` places in a filter of ``bits`` bits: low half + i * high half in 32 bits, i from 1,
-    complemented where negative."""
+    complemented where negative. Spark compiles these expressions, where it would interpret a lambda; they are short, as
+    a method of over 8000 bytes is interpreted again."""
 
     def half(x: Column) -> Column:
         return F.when(int32(x) == 0, F.lit(NONZERO)).otherwise(int32(x)).cast("long")
 
-    low, high = half(key.bitwiseAND(4294967295)), half(F.shiftrightunsigned(key, 32))
+    low, high = half(key), half(F.shiftrightunsigned(key, 32))
 
-    def place(i: Column) -> Column:
-        x = int32(low + i.cast("long") * high)
-        return F.pmod(F.when(x < 0, -x - 1).otherwise(x), F.lit(bits))
+    def place(i: int) -> Column:
+        x = int32(low + F.lit(i).cast("long") * high)
+        return x.bitwiseXOR(F.shiftright(x, 63)) % F.lit(bits).cast("long")
 
-    return F.transform(F.sequence(F.lit(1), F.lit(hashes)), place)
+    return F.array(*[place(i) for i in range(1, hashes + 1)])

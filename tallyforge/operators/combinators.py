@@ -40,7 +40,7 @@ def _entries(log: DataFrame, value: Callable[[], Column]) -> DataFrame:
 
 def _count_map(log: DataFrame) -> DataFrame:
     long = log.select("key", F.explode("value").alias("k", "n")).groupBy("key", "k").agg(F.sum("n").alias("n"))
-    return _entries(long, lambda: F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))))
+    return _entries(long, lambda: F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))))
 
 
 #: Maps to counts, added entry by entry. Entries are summed in long form before one row holds them.
@@ -50,7 +50,7 @@ COUNT_MAP = Combinator("count_map", _count_map)
 def counts_list(log: DataFrame) -> DataFrame:
     """Lists of (k, n) sorted by k, equal k added; n long or double."""
     long = log.select("key", F.explode("value").alias("e")).groupBy("key", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
-    return _entries(long, lambda: F.array_sort(F.collect_list(F.struct("k", "n"))))
+    return _entries(long, lambda: F.sort_array(F.collect_list(F.struct("k", "n"))))
 
 
 COUNTS_LIST = Combinator("counts_list", counts_list)
@@ -58,7 +58,7 @@ COUNTS_LIST = Combinator("counts_list", counts_list)
 
 def _union(log: DataFrame) -> DataFrame:
     items = log.select("key", F.explode("value").alias("x")).distinct()
-    return _entries(items, lambda: F.array_sort(F.collect_list("x")))
+    return _entries(items, lambda: F.sort_array(F.collect_list("x")))
 
 
 #: Sorted distinct union of arrays. Items are made distinct in long form, so a hot key's repeats are gone before it is gathered.
@@ -67,7 +67,7 @@ STRING_SET = Combinator("string_set", _union)
 
 
 def _postings(log: DataFrame) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    listed = F.sort_array(F.collect_list(F.struct("seq", "value")))
     return _entries(log, lambda: F.flatten(F.transform(listed, lambda x: x["value"])))
 
 
@@ -83,7 +83,7 @@ def list_merge(inner: Combinator) -> Combinator:
         long = log.select("key", "seq", F.explode("value").alias("e")).select(F.struct("key", F.col("e.k").alias("k")).alias("key"), "seq", F.col("e.v").alias("value"))
         kept = inner.state(long if inner.sees_tombstones else survivors(long))
         every = long.select("key").distinct().join(kept, "key", "left").select(F.col("key.key").alias("key"), F.col("key.k").alias("k"), F.col("value").alias("v"))
-        return _entries(every, lambda: F.array_sort(F.collect_list(F.struct("k", "v"))))
+        return _entries(every, lambda: F.sort_array(F.collect_list(F.struct("k", "v"))))
 
     return Combinator(f"list_merge({inner.name})", state, closed=inner.closed)
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,108 +122,124 @@ def _apart(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.element_at(F.array("key"), 1))
 
 
-def _in_order(rows: DataFrame, by: list[str], place: str, value: str, name: str) -> DataFrame:
-    """An array of ``value`` by ``place`` for each of ``by``."""
-    return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias(name))
+def _filled(listed: Column, n: int, kind: str) -> Column:
+    """An array of ``n`` values, 0 but for the (place, mask) that are listed in the order of place. A filter is gathered from the
+    places that are set; the others are filled in here, so that they are no rows."""
+    zero = F.lit(0).cast(kind)
 
+    def with_gap(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(listed, i - 1)["place"], F.lit(-1))
+        return F.concat(F.array_repeat(zero, (x["place"] - before - 1).cast("int")), F.array(x["mask"].cast(kind)))
 
-def _last(n: int) -> Column:
-    """The last of ``n`` places, as an aggregate: a plain literal would be folded into an array of ``n`` literals in the plan."""
-    return F.max(F.lit(n - 1).cast("long")).alias("last")
+    after = n - 1 - F.coalesce(F.try_element_at(listed, F.lit(-1))["place"], F.lit(-1))
+    return F.flatten(F.concat(F.transform(listed, with_gap), F.array(F.array_repeat(zero, after.cast("int")))))
 
 
-def _places() -> Column:
-    """(place, mask) of empty words or cells up to the column ``last``, so that none is missing from an array of them."""
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.struct(i.alias("place"), F.lit(0).cast("long").alias("mask")))
+def _gathered(rows: DataFrame, n: str, agg: Column) -> DataFrame:
+    """(key, n, dense, listed) from rows (key, n, dense, place, mask): an entry a place, in their order."""
+    entries = rows.groupBy("key", n, "dense", "place").agg(agg.alias("mask"))
+    return entries.groupBy("key", n, "dense").agg(F.sort_array(F.collect_list(F.struct("place", "mask"))).alias("listed"))
 
 
-def _bits(x: Column, size: Size) -> Column:
-    """(place, mask) of each bit of a member."""
-    return F.transform(probes(x, size.hashes, size.bits), lambda b: F.struct(F.floor(b / 64).cast("long").alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")).alias("mask")))
+def _placed() -> Column:
+    """The entries that have a place: a null is in no filter."""
+    return F.filter("listed", lambda e: e["place"].isNotNull())
 
 
-def _set_filters(rows: DataFrame) -> DataFrame:
-    """(key, n, words) from (key, n, e) with an array e of (place, mask)."""
-    words = rows.select("key", "n", F.explode("e").alias("e")).groupBy("key", "n", F.col("e.place").alias("place")).agg(F.bit_or("e.mask").alias("mask"))
-    return _in_order(words, ["key", "n"], "place", "mask", "words")
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
-def _hybrid(exact: DataFrame, filters: DataFrame, *fields: str) -> DataFrame:
-    return _apart(exact).unionByName(_apart(filters), allowMissingColumns=True).select("key", F.struct(*fields).alias("value"))
+def _set_values(rows: DataFrame, size: Size) -> DataFrame:
+    """(key, value) of hybrid sets from (key, n, dense, x, old): a member x, or the words of a filter in its place."""
+    at = rows.select("key", "n", "dense", F.col("old").isNotNull().alias("whole"), "x", "old", probes(F.col("x"), size.hashes, size.bits).alias("at"))
+    dense, whole, b = F.col("dense"), F.col("whole"), F.col("b")
+    at = at.select("key", "n", "dense", "whole", F.posexplode(F.when(~dense, F.array("x")).when(whole, F.col("old")).otherwise(F.col("at"))).alias("i", "b"))
+    place = F.when(~dense, b).when(whole, F.col("i").cast("long")).otherwise(F.shiftright(b, 6))
+    mask = F.when(~dense, F.lit(0).cast("long")).when(whole, b).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(63).cast("int")))
+    listed = _gathered(at.select("key", "n", "dense", place.alias("place"), mask.alias("mask")), "n", F.bit_or("mask")).select("key", "n", "dense", _placed().alias("listed"))
+    members = F.when(~dense, F.transform("listed", lambda e: e["place"]))
+    return listed.select("key", F.struct("n", members.alias("members"), F.when(dense, _filled(F.col("listed"), size.bits // 64, "long")).alias("words")).alias("value"))
 
 
 def hybrid_sets(log: DataFrame, features: int) -> DataFrame:
     """(key, value struct of n, members, words): members while fewer than features / 10, then the words of a 1 % filter."""
-    size = Size.of(features, 0.01)
     items = log.select("key", F.explode("value").alias("x")).distinct()
     marked = items.join(items.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("dense", F.col("n") >= features / 10)
-    exact = marked.filter("not dense").groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("members"))
-    first = marked.filter("dense").groupBy("key", "n").agg(_last(size.bits // 64)).select("key", "n", _places().alias("e"))
-    return _hybrid(exact, _set_filters(_apart(marked.filter("dense").select("key", "n", _bits(F.col("x"), size).alias("e"))).unionByName(_apart(first))), "n", "members", "words")
+    return _set_values(marked.withColumn("old", _none("array<bigint>")), Size.of(features, 0.01))
 
 
 def merge_hybrid_sets(a: DataFrame, b: DataFrame, features: int) -> DataFrame:
     """Two states of hybrid sets as one. A key that is a filter in either stays one; its n is then the sum, an upper bound."""
-    size = Size.of(features, 0.01)
     # one row a key in each state, so what is gathered here is bounded
-    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(_last(size.bits // 64), F.sum("value.n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("value.members")))).alias("members"), F.collect_list("value.words").alias("words"))
-    dense = (F.size("words") > 0) | (F.size("members") >= features / 10)
-    old = F.flatten(F.transform("words", lambda w: F.transform(w, lambda m, i: F.struct(i.cast("long").alias("place"), m.alias("mask")))))
+    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(F.sum("value.n").alias("n"), F.array_distinct(F.flatten(F.collect_list("value.members"))).alias("members"), F.collect_list("value.words").alias("words"))
     n = F.when(F.size("words") > 0, F.col("n")).otherwise(F.size("members")).cast("long")
-    rows = both.filter(dense).select("key", n.alias("n"), F.concat(_places(), old, F.flatten(F.transform("members", lambda x: _bits(x, size)))).alias("e"))
-    return _hybrid(both.filter(~dense).select("key", F.size("members").cast("long").alias("n"), "members"), _set_filters(rows), "n", "members", "words")
+    marked = both.select("key", n.alias("n"), ((F.size("words") > 0) | (F.size("members") >= features / 10)).alias("dense"), "members", "words")
+    parts = F.concat(F.transform("members", lambda x: F.struct(x.alias("x"), _none("array<bigint>").alias("old"))), F.transform("words", lambda w: F.struct(_none("long").alias("x"), w.alias("old"))))
+    # explode_outer: a set that holds null alone keeps its row
+    return _set_values(marked.select("key", "n", "dense", F.explode_outer(parts).alias("p")).select("key", "n", "dense", "p.x", "p.old"), Size.of(features, 0.01))
 
 
-def set_contains(value: Column, x: Column, features: int) -> Column:
-    """Whether a hybrid set may hold ``x``; exact while it has members."""
-    size = Size.of(features, 0.01)
+def set_contains(value: Column, x: Column, features: int, at: Column | None = None) -> Column:
+    """Whether a hybrid set may hold ``x``; exact while it has members. ``at``: a column of the array that ``set_places`` gives, for
+    reads in rows of their own; Spark compiles them with the row, so that the value isn't copied for each."""
 
     def is_set(bit: Column) -> Column:
-        return F.call_function("getbit", F.element_at(value["words"], (F.floor(bit / 64) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+        return F.call_function("getbit", F.get(value["words"], F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
 
-    return F.when(value["members"].isNotNull(), F.array_contains(value["members"], x)).otherwise(F.forall(probes(x, size.hashes, size.bits), is_set))
+    if at is None:
+        inside = F.forall(set_places(x, features), is_set)
+    else:
+        inside = reduce(lambda p, q: p & q, [is_set(F.get(at, i)) for i in range(Size.of(features, 0.01).hashes)])
+    return F.when(value["members"].isNotNull(), F.array_contains(value["members"], x)).otherwise(inside)
 
 
-def _cell(k: Column, n: Column, size: Size) -> Column:
-    return F.transform(F.array_distinct(probes(k, size.hashes, size.bits)), lambda c: F.struct(c.cast("long").alias("place"), n.cast("long").alias("mask")))
+def set_places(x: Column, features: int) -> Column:
+    """The places of ``x`` in a hybrid set or in hybrid counts; compiled, where it is a column of its own."""
+    size = Size.of(features, 0.01)
+    return probes(x, size.hashes, size.bits)
 
 
-def _count_filters(rows: DataFrame, agg: Callable[[str], Column]) -> DataFrame:
-    """(key, total, cells) from (key, total, e) with an array e of (place, count)."""
-    cells = rows.select("key", "total", F.explode("e").alias("e")).groupBy("key", "total", F.col("e.place").alias("place")).agg(F.least(agg("e.mask"), F.lit(255)).cast("smallint").alias("n"))
-    return _in_order(cells, ["key", "total"], "place", "n", "cells")
+def _count_values(rows: DataFrame, size: Size, agg: Column) -> DataFrame:
+    """(key, value) of hybrid counts from (key, total, dense, k, n, old): a count, or the cells of a filter in its place."""
+    at = rows.select("key", "total", "dense", F.col("old").isNotNull().alias("whole"), "k", "n", "old", probes(F.col("k"), size.hashes, size.bits).alias("at"))
+    dense, whole = F.col("dense"), F.col("whole")
+    at = at.select("key", "total", "dense", "whole", "n", F.posexplode(F.when(~dense, F.array("k")).when(whole, F.col("old")).otherwise(F.array_distinct("at"))).alias("i", "b"))
+    at = at.select("key", "total", "dense", F.when(dense & whole, F.col("i").cast("long")).otherwise(F.col("b")).alias("place"), F.when(dense & whole, F.col("b")).otherwise(F.col("n")).alias("mask"))
+    listed = _gathered(at.filter("not dense or mask <> 0"), "total", agg)
+    counts = F.when(~dense, F.transform("listed", lambda e: F.struct(e["place"].alias("k"), e["mask"].alias("n"))))
+    cells = F.when(dense, F.transform(_placed(), lambda e: F.struct(e["place"], F.least(e["mask"], F.lit(255)).alias("mask"))))
+    found = listed.select("key", "total", counts.alias("counts"), cells.alias("cells"))
+    return found.select("key", F.struct("total", "counts", F.when(F.col("cells").isNotNull(), _filled(F.col("cells"), size.bits, "smallint")).alias("cells")).alias("value"))
 
 
 def hybrid_counts(log: DataFrame, most: int) -> DataFrame:
     """(key, value struct of total, counts, cells): exact counts while fewer than most / 10 keys, then a counting filter of 1 %."""
-    size = Size.of(most, 0.01)
     items = log.select("key", F.explode("value").alias("e")).groupBy("key", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
     marked = items.join(items.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")), "key").withColumn("dense", F.col("kinds") >= most / 10)
-    exact = marked.filter("not dense").groupBy("key", "total").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
-    first = marked.filter("dense").groupBy("key", "total").agg(_last(size.bits)).select("key", "total", _places().alias("e"))
-    rows = _apart(marked.filter("dense").select("key", "total", _cell(F.col("k"), F.col("n"), size).alias("e"))).unionByName(_apart(first))
-    return _hybrid(exact, _count_filters(rows, F.max), "total", "counts", "cells")
+    return _count_values(marked.withColumn("old", _none("array<bigint>")), Size.of(most, 0.01), F.max("mask"))
 
 
 def merge_hybrid_counts(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     """Two states of hybrid counts as one. A key that is a filter in either stays one."""
-    size = Size.of(most, 0.01)
-    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(_last(size.bits), F.sum("value.total").alias("total"), F.flatten(F.collect_list("value.counts")).alias("counts"), F.collect_list("value.cells").alias("cells"))
+    # one row a key in each state, so what is gathered here is bounded
+    both = _apart(a).unionByName(_apart(b)).groupBy("key").agg(F.sum("value.total").alias("total"), F.flatten(F.collect_list("value.counts")).alias("counts"), F.collect_list("value.cells").alias("cells"))
     dense = (F.size("cells") > 0) | (F.size(F.array_distinct(F.transform("counts", lambda c: c["k"]))) >= most / 10)
-    exact = both.filter(~dense).select("key", "total", F.explode("counts").alias("e")).groupBy("key", "total", F.col("e.k").alias("k")).agg(F.sum("e.n").alias("n"))
-    exact = exact.groupBy("key", "total").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
-    old = F.flatten(F.transform("cells", lambda w: F.transform(w, lambda m, i: F.struct(i.cast("long").alias("place"), m.cast("long").alias("mask")))))
-    new = F.flatten(F.transform("counts", lambda c: _cell(c["k"], c["n"], size)))
-    rows = both.filter(dense).select("key", "total", F.concat(_places(), old, new).alias("e"))
-    return _hybrid(exact, _count_filters(rows, F.sum), "total", "counts", "cells")
+    lists = F.transform("counts", lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), _none("array<bigint>").alias("old")))
+    filters = F.transform("cells", lambda w: F.struct(_none("long").alias("k"), _none("long").alias("n"), w.cast("array<bigint>").alias("old")))
+    rows = both.select("key", "total", dense.alias("dense"), F.explode(F.concat(lists, filters)).alias("p")).select("key", "total", "dense", "p.k", "p.n", "p.old")
+    return _count_values(rows, Size.of(most, 0.01), F.sum("mask"))
 
 
 def counted(value: Column, k: Column, most: int) -> Column:
     """The count of ``k`` in hybrid counts: exact while they are a list, else never too low below 255."""
-    size = Size.of(most, 0.01)
     listed = F.coalesce(F.get(F.transform(F.filter(value["counts"], lambda c: c["k"] == k), lambda c: c["n"]), 0), F.lit(0)).cast("long")
-    cells = F.array_min(F.transform(probes(k, size.hashes, size.bits), lambda p: F.element_at(value["cells"], (p + 1).cast("int")))).cast("long")
-    return F.when(value["counts"].isNotNull(), listed).otherwise(cells)
+    return F.when(value["counts"].isNotNull(), listed).otherwise(F.array_min(F.transform(set_places(k, most), lambda p: F.get(value["cells"], p.cast("int")))).cast("long"))
+
+
+def filter_count(value: Column, at: Column, most: int) -> Column:
+    """The count in hybrid counts that are a filter, in a row for each key read; ``at`` as in ``set_contains``."""
+    return F.array_min(F.array(*[F.get(value["cells"], F.get(at, i).cast("int")) for i in range(Size.of(most, 0.01).hashes)])).cast("long")
 
 
 @dataclass(frozen=True)
