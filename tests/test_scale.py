@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import combinators as C
 from tallyforge.operators import sketches
 from tallyforge.operators.fold import fold
-
+from tallyforge.plans import catalogue
 
 
 def plan(df):
@@ -20,3 +20,10 @@ def test_empty_cells_of_count_filters_are_no_rows(spark):
     read = state.filter("key = 1").select(F.transform(F.lit(list(range(150))).cast("array<bigint>"), lambda k: sketches.counted(F.col("value"), k, 1000))).first()[0]
     assert all(a >= i + 1 for i, a in enumerate(read)) and sum(a == i + 1 for i, a in enumerate(read)) > 140
     assert "sequence(" not in plan(state) and "sequence(" not in plan(sketches.merge_hybrid_counts(state, state, 1000))
+
+
+def test_ordered_scan_keeps_each_row_and_its_place(spark, tmp_path):
+    orders = spark.range(0, 400_000, 1, 4).select(((F.col("id") * 7919) % 400_009).alias("o_orderkey"), (F.col("id") % 1000 + 0.5).alias("o_totalprice"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    rows = catalogue.QUERIES["ordered_scan"](spark, str(tmp_path)).toPandas().sort_values("key")
+    assert len(rows) == 400_000 and (rows["place"].to_numpy() == range(400_000)).all()
