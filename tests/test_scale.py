@@ -27,3 +27,17 @@ def test_ordered_scan_keeps_each_row_and_its_place(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     rows = catalogue.QUERIES["ordered_scan"](spark, str(tmp_path)).toPandas().sort_values("key")
     assert len(rows) == 400_000 and (rows["place"].to_numpy() == range(400_000)).all()
+
+
+def _missed(spark, state, members):
+    asked = spark.createDataFrame([(m,) for m in members], "x long").withColumn("at", sketches.set_places(F.col("x"), 1000))
+    both = asked.crossJoin(state.select("value"))
+    inside = [sketches.set_contains(F.col("value"), F.col("x"), 1000, at) for at in (None, F.col("at"))]
+    return [both.filter(~i).count() for i in inside]
+
+
+def test_merged_sets_with_a_null_keep_their_members(spark):
+    parts = [fold(spark.createDataFrame([(1, 0, [None, *m])], "key long, seq long, value array<long>"), C.compact_index(1000)) for m in (range(70), range(60, 260))]
+    state = sketches.merge_hybrid_sets(*parts, 1000)
+    assert state.count() == 1 and _missed(spark, state, range(260)) == [0, 0]
+    assert "sequence(" not in plan(state)
