@@ -491,10 +491,7 @@ def _members_found(log: DataFrame, state: DataFrame, *fields: str) -> DataFrame:
 def compact_index(spark, d):
     """Sets, exact while small; all members are found in either form."""
     log = _part_sets(spark, d)
-    asked = log.groupBy("key").agg(F.collect_set(F.col("value")[0]).alias("asked"))
-    state = fold(log, C.compact_index(6000)).join(asked, "key")
-    found = F.size(F.filter("asked", lambda x: sketches.set_contains(F.col("value"), x, 6000))).cast("long")
-    return state.select("key", "value.n", F.col("value.members").isNotNull().alias("exact"), found.alias("found"))
+    return _members_found(log, fold(log, C.compact_index(6000)), "n")
 
 
 @query("""SELECT l_suppkey AS key, count(DISTINCT l_partkey) AS found,

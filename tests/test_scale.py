@@ -41,3 +41,10 @@ def test_merged_sets_with_a_null_keep_their_members(spark):
     state = sketches.merge_hybrid_sets(*parts, 1000)
     assert state.count() == 1 and _missed(spark, state, range(260)) == [0, 0]
     assert "sequence(" not in plan(state)
+
+
+def test_sets_with_a_null_keep_their_members(spark):
+    log = spark.createDataFrame([(1, 0, [None, *range(200)])], "key long, seq long, value array<long>")
+    state = fold(log, C.compact_index(1000))
+    assert len(state.first()["value"]["words"]) == sketches.Size.of(1000, 0.01).bits // 64 and _missed(spark, state, range(200)) == [0, 0]
+    assert "sequence(" not in plan(state)
